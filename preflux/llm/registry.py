@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from .bpe import op4_pair_index_bpe
 from .decontaminate import OP7_SQL, op7_benchmark_containment
+from .quality import op8_decision_list
 from .sharding import op6_bounded_ring
+from .simhash import op1_vantage_simhash
 from .url_filter import op10_redirect_rules
 
 QUERIES = {
+    "op1_vantage_simhash": op1_vantage_simhash,
+    "op4_pair_index_bpe": op4_pair_index_bpe,
     "op6_bounded_ring": op6_bounded_ring,
     "op7_benchmark_containment": op7_benchmark_containment,
+    "op8_decision_list": op8_decision_list,
     "op10_redirect_rules": op10_redirect_rules,
 }
 ORACLES = {"op7_benchmark_containment": OP7_SQL}
