@@ -7,11 +7,13 @@ from .decontaminate import OP7_SQL, op7_benchmark_containment
 from .quality import op8_decision_list
 from .sharding import op6_bounded_ring
 from .simhash import op1_vantage_simhash
+from .substring import op5_window_dedup
 from .url_filter import op10_redirect_rules
 
 QUERIES = {
     "op1_vantage_simhash": op1_vantage_simhash,
     "op4_pair_index_bpe": op4_pair_index_bpe,
+    "op5_window_dedup": op5_window_dedup,
     "op6_bounded_ring": op6_bounded_ring,
     "op7_benchmark_containment": op7_benchmark_containment,
     "op8_decision_list": op8_decision_list,
