@@ -74,7 +74,7 @@ def unpack(blob: bytes) -> np.ndarray:
     return np.cumsum(d.view(np.uint64).ravel(), dtype=np.uint64)
 
 
-def bucket_cuts(sorted_hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """Ends of each bucket's share of an ascending list; buckets are equal ranges of hashes."""
-    bounds = np.array([(b << 64) // buckets for b in range(1, buckets)], np.uint64)
+def bucket_cuts(sorted_hashes: np.ndarray, buckets: int, bits: int = 64) -> np.ndarray:
+    """Ends of each bucket's share of an ascending list; buckets are equal ranges of hashes of so many bits."""
+    bounds = np.array([(b << bits) // buckets for b in range(1, buckets)], np.uint64)
     return np.r_[0, np.searchsorted(sorted_hashes, bounds, "left"), len(sorted_hashes)]

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from .bpe import op4_pair_index_bpe
 from .decontaminate import OP7_SQL, op7_benchmark_containment
+from .language_model import op2_backoff_automaton
+from .pii import op3_shape_field
 from .quality import op8_decision_list
 from .sharding import op6_bounded_ring
 from .simhash import op1_vantage_simhash
@@ -12,6 +14,8 @@ from .url_filter import op10_redirect_rules
 
 QUERIES = {
     "op1_vantage_simhash": op1_vantage_simhash,
+    "op2_backoff_automaton": op2_backoff_automaton,
+    "op3_shape_field": op3_shape_field,
     "op4_pair_index_bpe": op4_pair_index_bpe,
     "op5_window_dedup": op5_window_dedup,
     "op6_bounded_ring": op6_bounded_ring,
