@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from .bpe import op4_pair_index_bpe
 from .decontaminate import OP7_SQL, op7_benchmark_containment
 from .language_model import op2_backoff_automaton
@@ -13,6 +15,7 @@ from .substring import op5_window_dedup
 from .url_filter import op10_redirect_rules
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_vantage_simhash": op1_vantage_simhash,
     "op2_backoff_automaton": op2_backoff_automaton,
     "op3_shape_field": op3_shape_field,
@@ -24,3 +27,5 @@ QUERIES = {
     "op10_redirect_rules": op10_redirect_rules,
 }
 ORACLES = {"op7_benchmark_containment": OP7_SQL}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
