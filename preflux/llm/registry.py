@@ -11,6 +11,7 @@ from .pii import op3_shape_field
 from .quality import op8_decision_list
 from .sharding import op6_bounded_ring
 from .simhash import op1_vantage_simhash
+from .suffix_dedup import op9_parsed_suffixes
 from .substring import op5_window_dedup
 from .url_filter import op10_redirect_rules
 
@@ -24,6 +25,7 @@ QUERIES = {
     "op6_bounded_ring": op6_bounded_ring,
     "op7_benchmark_containment": op7_benchmark_containment,
     "op8_decision_list": op8_decision_list,
+    "op9_parsed_suffixes": op9_parsed_suffixes,
     "op10_redirect_rules": op10_redirect_rules,
 }
 ORACLES = {"op7_benchmark_containment": OP7_SQL}
