@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import corpus, model, visual
+
+QUERIES: dict = {**corpus.QUERIES, **model.QUERIES, **visual.QUERIES}
+ORACLES: dict[str, str] = {**corpus.ORACLES, **model.ORACLES, **visual.ORACLES}
