@@ -99,6 +99,7 @@ def text_statistics(texts: list[str]) -> dict[str, np.ndarray]:
 
 def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with a column ``quality_stats`` (struct of STATS_SCHEMA); a null text counts as empty."""
+    docs = docs.drop("quality_stats")
     schema = StructType([*docs.schema.fields, StructField("quality_stats", StructType.fromDDL(STATS_SCHEMA))])
     at = docs.columns.index(text_col)
     kind = pa.struct([(part.split()[0], pa.int64() if part.split()[1] == "long" else pa.float64()) for part in STATS_SCHEMA.split(", ")])
@@ -242,16 +243,24 @@ def base_failed() -> Column:
     return (s.n_words < 10) | (100 * s.n_repeat_words > 20 * s.n_words)
 
 
-def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with quality_stats, base_failed, rule (number of the rejecting rule or null) and kept."""
-    rules = fit_rules(docs, labels, id_col, text_col)
+def apply_rules(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFrame:
+    """``docs`` with quality_stats, base_failed, rule (number of the rejecting rule or null) and kept.
+
+    Columns of these names in ``docs`` are replaced. A null text counts as
+    empty and fails the base rule; no rows give no rows.
+    """
     return (
-        with_statistics(docs, text_col)
+        with_statistics(docs.drop("base_failed", "rule", "kept"), text_col)
         .withColumns({"base_failed": base_failed(), "rule": verdict(rules)})
         .withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
     )
 
 
+def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``apply_rules`` with rules learned from the labelled documents; without labels only the base rule rejects."""
+    return apply_rules(docs, fit_rules(docs, labels, id_col, text_col), text_col)
+
+
 def op8_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics and verdict of every document."""
     out = judge(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels"))

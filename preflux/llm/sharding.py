@@ -79,9 +79,10 @@ def bounded_ring(rows: DataFrame, key: str, order: list[str], shards: int = SHAR
 
     ``key`` places a row on the ring; a null key is placed by ``order`` instead.
     Rows that agree in key and ``order`` are interchangeable and get adjacent
-    slots. An empty table gives no rows.
+    slots. An empty table gives no rows; columns named like the results are replaced.
     """
     spark = rows.sparkSession
+    rows = rows.drop("home_shard", "shard", "slot")
     nodes = ring(shards, vnodes)
     # 2**16 rows whatever the data: safe to broadcast.
     cells = spark.range(1 << CELL_BITS).select(

@@ -50,8 +50,8 @@ class Parse:
         self.data = np.frombuffer(b"".join(raw), np.uint8)
         self.ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
         self.begins = self.ends - np.fromiter(map(len, raw), np.int64, len(raw))
-        parts = [self._segment(a) for a in range(0, len(self.data), SEGMENT)]
-        first, last, trigger, gram, phrase = (np.concatenate(x) if parts else np.zeros(0, np.int64) for x in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 5
+        parts = [self._segment(a) for a in range(0, max(1, len(self.data)), SEGMENT)]
+        first, last, trigger, gram, phrase = (np.concatenate(x) for x in zip(*parts, strict=True))
         if len(first) > 1:
             # A phrase that a segment's end cut in two is one again.
             joined = (trigger[1:] == trigger[:-1]) & (first[1:] == last[:-1] + 1)
