@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,11 +45,35 @@ def kernel(a: np.ndarray, b: np.ndarray, length_scale: float, variance: float) -
     return variance * np.exp(-np.maximum(d2, 0.0) / (2.0 * length_scale**2))
 
 
+def lower_solve(low: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The solution of low @ x = b by halves: work that follows the square of the size, in BLAS products."""
+    n = len(low)
+    if n <= 64:
+        return np.linalg.solve(low, b)
+    h = n // 2
+    top = lower_solve(low[:h, :h], b[:h])
+    return np.concatenate([top, lower_solve(low[h:, h:], b[h:] - low[h:, :h] @ top)])
+
+
+def lower_inverse(low: np.ndarray) -> np.ndarray:
+    n = len(low)
+    if n <= 64:
+        return np.tril(np.linalg.inv(low))
+    h = n // 2
+    a, d = lower_inverse(low[:h, :h]), lower_inverse(low[h:, h:])
+    return np.block([[a, np.zeros((h, n - h))], [-d @ (low[h:, :h] @ a), d]])
+
+
+def upper_solve(low: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The solution of low.T @ x = b: the lower case read backwards."""
+    return lower_solve(low.T[::-1, ::-1], b[::-1])[::-1]
+
+
 def _factor(x: np.ndarray, y: np.ndarray, params: tuple[float, float, float]) -> tuple[np.ndarray, np.ndarray, float]:
     length_scale, variance, noise = params
     k = kernel(x, x, length_scale, variance) + noise**2 * np.eye(len(x))
     low = np.linalg.cholesky(k)
-    alpha = np.linalg.solve(low.T, np.linalg.solve(low, y))
+    alpha = upper_solve(low, lower_solve(low, y))
     lml = -0.5 * float(y @ alpha) - float(np.log(np.diag(low)).sum()) - 0.5 * len(y) * math.log(2 * math.pi)
     return low, alpha, lml
 
@@ -57,7 +82,7 @@ def lml_gradient(x: np.ndarray, y: np.ndarray, params: tuple[float, float, float
     """Derivatives of the log marginal likelihood by length scale, variance and noise."""
     length_scale, variance, noise = params
     low, alpha, _ = _factor(x, y, params)
-    inverse = np.linalg.inv(low)
+    inverse = lower_inverse(low)
     inverse = inverse.T @ inverse
     k = kernel(x, x, length_scale, variance)
     d2 = -2.0 * length_scale**2 * np.log(np.maximum(k / variance, 1e-300))
@@ -123,7 +148,7 @@ def fit(x: np.ndarray, y: np.ndarray, length_scale: float = 1.0, variance: float
             raise ValueError("a hyperparameter search needs two ratings at least")
         params, info = optimize(x, y, params, max_iterations)
     low, alpha, lml = _factor(x, y, params)
-    return GPState(x, y, alpha, np.linalg.inv(low) if with_variance else None, *params, lml, info)
+    return GPState(x, y, alpha, lower_inverse(low) if with_variance else None, *params, lml, info)
 
 
 def posterior(state: GPState, q: np.ndarray, with_variance: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
@@ -152,13 +177,14 @@ def score(candidates: DataFrame, state: GPState, mean: bool = True, variance: bo
     shared = candidates.sparkSession.sparkContext.broadcast(state)
     names = ["mean"] * mean + ["variance"] * variance
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if len(b):
-                m, v = posterior(shared.value, matrix(b["e"]), variance)
-                yield pd.DataFrame({"row_index": b["row_index"], **({"mean": m} if mean else {}), **({"variance": v} if variance else {})})
+                q = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(len(b), -1)
+                values = dict(zip(("mean", "variance"), posterior(shared.value, q, variance), strict=True))
+                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(values[n]) for n in names)], ["row_index", *names])
 
-    return candidates.select("row_index", "e").mapInPandas(run, ", ".join(["row_index long", *(f"{n} double" for n in names)]))
+    return candidates.select("row_index", "e").mapInArrow(run, ", ".join(["row_index long", *(f"{n} double" for n in names)]))
 
 
 def score_by_expression(candidates: DataFrame, state: GPState) -> DataFrame:
