@@ -29,9 +29,9 @@ from .common import read
 LENGTH, GRAM = 100, 24
 SPAN = LENGTH - GRAM + 1
 #: Positions that are parsed at once; bounds the memory of a chunk with a very long text.
-SEGMENT = 1 << 21
+SEGMENT = 1 << 18
 #: Phrases of a bucket of the parse, and bytes of phrases of a bucket of the dictionary, on average.
-BUCKET_PHRASES, BUCKET_BYTES = 1 << 20, 4 << 20
+BUCKET_PHRASES, BUCKET_BYTES = 1 << 18, 2 << 20
 #: Bytes between triggers, on average.
 STEP = (SPAN + 1) // 2
 
