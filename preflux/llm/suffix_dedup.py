@@ -8,7 +8,9 @@ in corpus order can hold anything new, so a copied text costs one hash a
 phrase. Phrases that share a gram with a different phrase make up the
 dictionary. Its suffixes are sorted bytewise to depth 100, bucket by bucket;
 equal suffixes are put in corpus order by their phrases' places in the parse,
-and all but the first are repeats.
+and all but the first are repeats. A gram with very many classes would make one
+bucket as large as the corpus, so the strings of its phrases are dealt out by
+their own hashes.
 
 Chunks are ranges of doc_id, so comparing chunk, phrase and start is comparing
 corpus positions. Only packed hashes, dictionary phrases and answer bits move;
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chunks import bucket_cuts, chunk_count, pack, powers, prefix, rolling, text_bytes, unpack
+from .chunks import bucket_cuts, chunk_count, mix, pack, powers, prefix, rolling, text_bytes, unpack
 from .common import read
 
 LENGTH, GRAM = 100, 24
@@ -32,6 +34,9 @@ SPAN = LENGTH - GRAM + 1
 SEGMENT = 1 << 18
 #: Phrases of a bucket of the parse, and bytes of phrases of a bucket of the dictionary, on average.
 BUCKET_PHRASES, BUCKET_BYTES = 1 << 18, 2 << 20
+#: Phrase classes of one gram, over all chunks, from which its strings are compared by their own hashes instead:
+#: where very many texts share a line, the phrases at its ends have one gram and would all meet in one bucket.
+HOT_CLASSES = 512
 #: Bytes between triggers, on average.
 STEP = (SPAN + 1) // 2
 
@@ -39,8 +44,7 @@ STEP = (SPAN + 1) // 2
 class Parse:
     """The phrases of a chunk: of each its first and last start, its trigger's gram hash and its class.
 
-    Equal phrases (gram, bytes, place of the trigger) are one class; classes
-    ascend by gram and then by phrase hash.
+    Equal phrases (gram, bytes, place of the trigger) are one class.
     """
 
     def __init__(self, ids: list, texts: list, bits: int):
@@ -64,15 +68,11 @@ class Parse:
                     phrase[k] = rolling(prefix(self.data[a:b].astype(np.uint64) + np.uint64(1)), np.array([0]), np.array([b - a]))[0]
         self.first, self.last, self.trigger = first, last, trigger
         self.gram = (gram >> np.uint64(64 - bits)).astype(np.uint64)
-        self.phrase = phrase.astype(np.uint64) + (trigger - first).astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
-        rank = np.lexsort((self.phrase, self.gram))
-        g, p = self.gram[rank], self.phrase[rank]
-        new = np.ones(len(rank), bool)
-        new[1:] = (g[1:] != g[:-1]) | (p[1:] != p[:-1])
-        self.class_of = np.empty(len(rank), np.int64)
-        self.class_of[rank] = np.cumsum(new) - 1
-        self.class_gram, self.class_phrase = g[new], p[new]
-        self.class_first = rank[new]  # lexsort is stable: the first phrase of the class in corpus order
+        key = mix(phrase.astype(np.uint64) + (trigger - first).astype(np.uint64) * np.uint64(0xA0761D6478BD642F) + self.gram * np.uint64(0xE7037ED1A0B428DB))
+        # np.unique gives the first place of a value: the class's first phrase in corpus order.
+        self.class_key, self.class_first, self.class_of = np.unique(key, return_index=True, return_inverse=True)
+        self.class_gram = self.gram[self.class_first]
+        self.grams, self.gram_of_class, self.gram_classes = np.unique(self.class_gram, return_inverse=True, return_counts=True)
 
     def _segment(self, at: int):
         """Phrases with starts in [at, at + SEGMENT)."""
@@ -117,81 +117,127 @@ def _flags(bits: bytes, n: int) -> np.ndarray:
 
 
 def _send_parse(buckets: int, bits: int):
+    """Lists of classes, and lists of grams with the one class that each has in the chunk (0: several) and how many."""
+
     def run(key, table):
         parse = _parsed(table, bits)
-        cuts = bucket_cuts(parse.class_gram, buckets, bits)
-        full = np.flatnonzero(np.diff(cuts)).tolist()
+        only = np.zeros(len(parse.grams), np.uint64)
+        only[parse.gram_of_class] = parse.class_key
+        only[parse.gram_classes > 1] = 0
+        rows = []
+        cuts = bucket_cuts(parse.class_key, buckets)
+        for b in np.flatnonzero(np.diff(cuts)).tolist():
+            rows.append((b, pack(parse.class_key[cuts[b] : cuts[b + 1]]), None, None))
+        cuts = bucket_cuts(parse.grams, buckets, bits)
+        for b in np.flatnonzero(np.diff(cuts)).tolist():
+            part = slice(cuts[b], cuts[b + 1])
+            rows.append((buckets + b, pack(parse.grams[part]), only[part].tobytes(), parse.gram_classes[part].astype(np.uint32).tobytes()))
+        columns = list(zip(*rows, strict=True)) or [()] * 4
         return pa.table(
             {
-                "bucket": pa.array(full, pa.int64()), "chunk": pa.array([key[0].as_py()] * len(full), pa.int64()),
-                "grams": pa.array([pack(parse.class_gram[cuts[b] : cuts[b + 1]]) for b in full], pa.binary()),
-                "phrases": pa.array([parse.class_phrase[cuts[b] : cuts[b + 1]].tobytes() for b in full], pa.binary()),
+                "bucket": pa.array(columns[0], pa.int64()), "chunk": pa.array([key[0].as_py()] * len(rows), pa.int64()),
+                "hashes": pa.array(columns[1], pa.binary()), "only": pa.array(columns[2], pa.binary()), "classes": pa.array(columns[3], pa.binary()),
             }
         )
 
     return run
 
 
-def _compare_parse(table):
-    """Two bits for each class of each chunk: an earlier chunk has it; its gram has other classes too."""
-    table = table.sort_by("chunk")
-    grams = [unpack(b) for b in table.column("grams").to_pylist()]
-    lengths = [len(g) for g in grams]
-    gram = np.concatenate(grams)
-    phrase = np.concatenate([np.frombuffer(b, np.uint64) for b in table.column("phrases").to_pylist()])
-    rank = np.lexsort((phrase, gram))  # stable: chunks ascend within a class
-    g, p = gram[rank], phrase[rank]
-    new_gram = np.ones(len(rank), bool)
-    new_gram[1:] = g[1:] != g[:-1]
-    new = new_gram.copy()
-    new[1:] |= p[1:] != p[:-1]
-    group = np.cumsum(new_gram) - 1
-    several = np.bincount(group, weights=new)[group] > 1
-    earlier, contested = np.empty(len(rank), bool), np.empty(len(rank), bool)
-    earlier[rank], contested[rank] = ~new, several
-    cuts = np.cumsum(lengths)[:-1]
-    return table.select(["chunk", "bucket"]).append_column("earlier", pa.array(map(_bits, np.split(earlier, cuts)), pa.binary())).append_column(
-        "contested", pa.array(map(_bits, np.split(contested, cuts)), pa.binary())
-    )
+def _earlier(lists: list[np.ndarray]) -> list[np.ndarray]:
+    """For ascending lists in corpus order: which hashes an earlier list has."""
+    every = np.concatenate(lists)
+    rank = np.argsort(every, kind="stable")
+    ranked = every[rank]
+    again = np.zeros(len(every), bool)
+    again[rank[1:]] = ranked[1:] == ranked[:-1]
+    return np.split(again, np.cumsum([len(x) for x in lists])[:-1])
 
 
-def _class_flags(parse: Parse, buckets: int, bits: int, answers) -> tuple[np.ndarray, np.ndarray]:
-    """Per class: an earlier chunk has it, and it belongs to the dictionary (first of its kind, not alone with its gram)."""
-    n = len(parse.class_gram)
-    earlier, contested = np.zeros(n, bool), np.zeros(n, bool)
-    cuts = bucket_cuts(parse.class_gram, buckets, bits)
+def _compare_parse(table):
+    """Of classes a bit: an earlier chunk has it. Of grams two: they have several classes; they have very many."""
+    table = table.sort_by("chunk")
+    lists = [unpack(b) for b in table.column("hashes").to_pylist()]
+    out = table.select(["chunk", "bucket"])
+    if table.column("only").null_count:
+        flags = _earlier(lists)
+        return out.append_column("a", pa.array(map(_bits, flags), pa.binary())).append_column("b", pa.nulls(len(lists), pa.binary()))
+    gram = np.concatenate(lists)
+    only = np.concatenate([np.frombuffer(b, np.uint64) for b in table.column("only").to_pylist()])
+    classes = np.concatenate([np.frombuffer(b, np.uint32) for b in table.column("classes").to_pylist()])
+    distinct, group = np.unique(gram, return_inverse=True)
+    least, most = np.full(len(distinct), np.iinfo(np.uint64).max), np.zeros(len(distinct), np.uint64)
+    np.minimum.at(least, group, only)
+    np.maximum.at(most, group, only)
+    several = ((least != most) | (least == 0))[group]
+    hot = (np.bincount(group, weights=classes) > HOT_CLASSES)[group]
+    cuts = np.cumsum([len(x) for x in lists])[:-1]
+    return out.append_column("a", pa.array(map(_bits, np.split(several, cuts)), pa.binary())).append_column("b", pa.array(map(_bits, np.split(hot, cuts)), pa.binary()))
+
+
+def _class_flags(parse: Parse, buckets: int, bits: int, answers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per class: an earlier chunk has it; else, whether it belongs to the dictionary, or to the starts of a hot gram."""
+    earlier = np.zeros(len(parse.class_key), bool)
+    several, hot = np.zeros((2, len(parse.grams)), bool)
+    class_cuts, gram_cuts = bucket_cuts(parse.class_key, buckets), bucket_cuts(parse.grams, buckets, bits)
     for bucket, a, b in answers:
-        part = slice(cuts[bucket], cuts[bucket + 1])
-        earlier[part] = _flags(a, cuts[bucket + 1] - cuts[bucket])
-        contested[part] = _flags(b, cuts[bucket + 1] - cuts[bucket])
-    return earlier, contested & ~earlier
+        if b is None:
+            x, y = class_cuts[bucket], class_cuts[bucket + 1]
+            earlier[x:y] = _flags(a, y - x)
+        else:
+            x, y = gram_cuts[bucket - buckets], gram_cuts[bucket - buckets + 1]
+            several[x:y], hot[x:y] = _flags(a, y - x), _flags(b, y - x)
+    new = ~earlier & several[parse.gram_of_class]
+    hot = hot[parse.gram_of_class]
+    return earlier, new & ~hot, new & hot
 
 
 def _dictionary(parse: Parse, chosen: np.ndarray, buckets: int, bits: int) -> list[tuple[int, np.ndarray]]:
-    """(bucket, phrases in corpus order) of the chosen classes' first phrases."""
+    """(bucket, phrases in corpus order) of the chosen classes' first phrases, by gram."""
     classes = np.flatnonzero(chosen)
-    cuts = np.searchsorted(classes, bucket_cuts(parse.class_gram, buckets, bits))
+    classes = classes[np.argsort(parse.class_gram[classes], kind="stable")]
+    cuts = bucket_cuts(parse.class_gram[classes], buckets, bits)
     return [(b, np.sort(parse.class_first[classes[cuts[b] : cuts[b + 1]]])) for b in np.flatnonzero(np.diff(cuts)).tolist()]
 
 
-_DICTIONARY = "route long, chunk long, bucket long, earlier binary, contested binary, sizes binary, text binary"
+def _starts(parse: Parse, phrases: np.ndarray) -> np.ndarray:
+    n = parse.last[phrases] - parse.first[phrases] + 1
+    return np.repeat(parse.first[phrases] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+
+
+def _hot_strings(parse: Parse, chosen: np.ndarray):
+    """Starts of the chosen classes in corpus order; their distinct string hashes, first places and numbers."""
+    starts = _starts(parse, np.sort(parse.class_first[chosen])) if chosen.any() else np.zeros(0, np.int64)
+    hashes = np.zeros(len(starts), np.uint64)
+    for a in range(0, len(parse.data), SEGMENT):
+        x, y = np.searchsorted(starts, [a, a + SEGMENT])
+        if x < y:
+            sums = prefix(parse.data[a : a + SEGMENT + LENGTH].astype(np.uint64) + np.uint64(1))
+            hashes[x:y] = rolling(sums, starts[x:y] - a, starts[x:y] - a + LENGTH)
+    return starts, *np.unique(hashes, return_index=True, return_inverse=True)
+
+
+_DICTIONARY = "route long, chunk long, bucket long, a binary, b binary, sizes binary, text binary"
 
 
 def _send_dictionary(buckets: int, word_buckets: int, bits: int):
     def run(left, right):
         parse = _parsed(left, bits)
         chunk = left.column("chunk")[0].as_py()
-        answers = list(zip(*(right.column(c).to_pylist() for c in ("bucket", "earlier", "contested")), strict=True))
-        _, chosen = _class_flags(parse, buckets, bits, answers)
+        answers = list(zip(*(right.column(c).to_pylist() for c in ("bucket", "a", "b")), strict=True))
+        _, chosen, hot = _class_flags(parse, buckets, bits, answers)
         # The answers travel on to the last pass, spread over all routes.
         rows = [((chunk * 31 + b) % word_buckets, chunk, b, x, y, None, None) for b, x, y in answers]
         for b, which in _dictionary(parse, chosen, word_buckets, bits):
             a, e = parse.first[which], parse.last[which] + LENGTH
             text = b"".join(parse.data[i:j].tobytes() for i, j in zip(a.tolist(), e.tolist(), strict=True))
             rows.append((b, chunk, b, None, None, (e - a).astype(np.int64).tobytes(), text))
+        _, distinct, _, _ = _hot_strings(parse, hot)
+        cuts = bucket_cuts(distinct, word_buckets)
+        for b in np.flatnonzero(np.diff(cuts)).tolist():
+            rows.append((word_buckets + b, chunk, word_buckets + b, None, None, None, pack(distinct[cuts[b] : cuts[b + 1]])))
         columns = list(zip(*rows, strict=True)) or [()] * 7
         types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
-        names = ["route", "chunk", "bucket", "earlier", "contested", "sizes", "text"]
+        names = ["route", "chunk", "bucket", "a", "b", "sizes", "text"]
         return pa.table({n: pa.array(c, t) for n, c, t in zip(names, columns, types, strict=True)})
 
     return run
@@ -228,8 +274,12 @@ def _sort_dictionary(table):
     """Answers that pass through, and for each chunk's phrases a bit for each start: an earlier one begins the same string."""
     table = table.sort_by("chunk")
     rows = table.to_pylist()
-    out = [(r["chunk"], r["bucket"], r["earlier"], r["contested"], None) for r in rows if r["text"] is None]
-    words = [r for r in rows if r["text"] is not None]
+    out = [(r["chunk"], r["bucket"], r["a"], r["b"], None) for r in rows if r["text"] is None]
+    words = [r for r in rows if r["sizes"] is not None]
+    hot = [r for r in rows if r["sizes"] is None and r["text"] is not None]
+    if hot:
+        for r, flags in zip(hot, _earlier([unpack(r["text"]) for r in hot]), strict=True):
+            out.append((r["chunk"], r["bucket"], None, None, _bits(flags)))
     if words:
         text = np.frombuffer(b"".join(r["text"] for r in words), np.uint8)
         sizes = [np.frombuffer(r["sizes"], np.int64) for r in words]
@@ -245,25 +295,33 @@ def _sort_dictionary(table):
             out.append((r["chunk"], r["bucket"], None, None, _bits(flags)))
     columns = list(zip(*out, strict=True)) or [()] * 5
     types = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-    return pa.table({n: pa.array(c, t) for n, c, t in zip(["chunk", "bucket", "earlier", "contested", "repeats"], columns, types, strict=True)})
+    return pa.table({n: pa.array(c, t) for n, c, t in zip(["chunk", "bucket", "a", "b", "repeats"], columns, types, strict=True)})
 
 
 def _remove(buckets: int, word_buckets: int, bits: int, id_type: pa.DataType):
     def run(left, right):
         parse = _parsed(left, bits)
         rows = right.to_pylist()
-        earlier, chosen = _class_flags(parse, buckets, bits, [(r["bucket"], r["earlier"], r["contested"]) for r in rows if r["repeats"] is None])
+        earlier, chosen, hot = _class_flags(parse, buckets, bits, [(r["bucket"], r["a"], r["b"]) for r in rows if r["repeats"] is None])
         gone = earlier[parse.class_of] | (parse.class_first[parse.class_of] != np.arange(len(parse.class_of)))
         edge = np.zeros(len(parse.data) + 1, np.int64)
         np.add.at(edge, parse.first[gone], 1)
         np.add.at(edge, parse.last[gone] + LENGTH, -1)
         found = {r["bucket"]: r["repeats"] for r in rows if r["repeats"] is not None}
         for b, which in _dictionary(parse, chosen, word_buckets, bits):
-            n = parse.last[which] - parse.first[which] + 1
-            starts = np.repeat(parse.first[which] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+            starts = _starts(parse, which)
             hit = starts[_flags(found[b], len(starts))]
             np.add.at(edge, hit, 1)
             np.add.at(edge, hit + LENGTH, -1)
+        starts, distinct, place, number = _hot_strings(parse, hot)
+        if len(starts):
+            before = np.zeros(len(distinct), bool)
+            cuts = bucket_cuts(distinct, word_buckets)
+            for b in np.flatnonzero(np.diff(cuts)).tolist():
+                before[cuts[b] : cuts[b + 1]] = _flags(found[word_buckets + b], cuts[b + 1] - cuts[b])
+            hit = starts[before[number] | (place[number] != np.arange(len(starts)))]
+            np.add.at(edge, hit, 1)
+            np.add.at(edge, hit + LENGTH, -1)
         removed = np.cumsum(edge)[:-1] > 0
         out: dict[str, list] = {"id": [], "n_bytes": [], "n_removed": [], "spans": [], "kept": []}
         ids = left.column("id").to_pylist()
@@ -306,10 +364,10 @@ def remove_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: s
 
     id_type = docs.schema[id_col].dataType
     rows = docs.select(chunk_of(F.col(id_col)).alias("chunk"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    parses = rows.groupBy("chunk").applyInArrow(_send_parse(buckets, bits), "bucket long, chunk long, grams binary, phrases binary")
-    answers = parses.groupBy("bucket").applyInArrow(_compare_parse, "chunk long, bucket long, earlier binary, contested binary")
+    parses = rows.groupBy("chunk").applyInArrow(_send_parse(buckets, bits), "bucket long, chunk long, hashes binary, only binary, classes binary")
+    answers = parses.groupBy("bucket").applyInArrow(_compare_parse, "chunk long, bucket long, a binary, b binary")
     dictionary = rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_send_dictionary(buckets, word_buckets, bits), _DICTIONARY)
-    repeats = dictionary.groupBy("route").applyInArrow(_sort_dictionary, "chunk long, bucket long, earlier binary, contested binary, repeats binary")
+    repeats = dictionary.groupBy("route").applyInArrow(_sort_dictionary, "chunk long, bucket long, a binary, b binary, repeats binary")
     out = rows.groupBy("chunk").cogroup(repeats.groupBy("chunk")).applyInArrow(
         _remove(buckets, word_buckets, bits, to_arrow_type(id_type)),
         f"id {id_type.simpleString()}, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary",
