@@ -67,7 +67,8 @@ class Parse:
                     a, b = int(first[k]), int(last[k]) + LENGTH
                     phrase[k] = rolling(prefix(self.data[a:b].astype(np.uint64) + np.uint64(1)), np.array([0]), np.array([b - a]))[0]
         self.first, self.last, self.trigger = first, last, trigger
-        self.gram = (gram >> np.uint64(64 - bits)).astype(np.uint64)
+        # Triggers are least hashes, so these crowd at the low end until they are mixed again.
+        self.gram = mix(gram.astype(np.uint64)) >> np.uint64(64 - bits)
         key = mix(phrase.astype(np.uint64) + (trigger - first).astype(np.uint64) * np.uint64(0xA0761D6478BD642F) + self.gram * np.uint64(0xE7037ED1A0B428DB))
         # np.unique gives the first place of a value: the class's first phrase in corpus order.
         self.class_key, self.class_first, self.class_of = np.unique(key, return_index=True, return_inverse=True)
