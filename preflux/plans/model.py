@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import vector as V
-from ..operators import acquire, benchstats, blr, gp, learner
+from ..operators import acquire, benchstats, blr, gp, learner, synthetic
 from . import views as W
 
 QUERIES: dict = {}
@@ -242,16 +242,40 @@ def blr_metrics(spark, sf):
     return rounded(scored.agg(F.count("*").alias("n"), F.sqrt(F.avg(F.pow(F.col("mean") - F.col("rating"), 2))).alias("train_rmse"), F.avg("variance").alias("mean_variance")), "train_rmse", "mean_variance")
 
 
+_SPLIT = ", split AS (SELECT row_index, row_number() OVER (ORDER BY md5('0:' || row_index), row_index) <= greatest(1, least(count(*) OVER () - 1, CAST(floor(0.8 * count(*) OVER ()) AS BIGINT))) AS is_train FROM rated)"
+
+
+@query(
+    "WITH RECURSIVE " + _BLR.replace(", design AS", _SPLIT + ", design AS").replace("rating FROM rated)", "rating FROM rated WHERE row_index IN (SELECT row_index FROM split WHERE is_train))")
+    + " SELECT is_train, count(*) AS n, round(sqrt(avg(pow(mean - rating, 2))), 6) AS rmse, round(avg(variance), 6) AS mean_variance FROM predicted JOIN ratings USING (row_index) JOIN split USING (row_index) GROUP BY is_train"
+)
+def blr_baseline(spark, sf):
+    """Regression learned on an exact seeded split of the ratings, with the error on either part."""
+    rated = split(W.rated_vectors(spark, sf))
+    scored = blr.predict(rated, blr.fit(rated.where("is_train"), "e", "rating"))
+    out = scored.groupBy("is_train").agg(F.count("*").alias("n"), F.sqrt(F.avg(F.pow(F.col("mean") - F.col("rating"), 2))).alias("rmse"), F.avg("variance").alias("mean_variance"))
+    return rounded(out, "rmse", "mean_variance")
+
+
+@query()
+def synthetic_catalogue(spark, sf):
+    """A seeded catalogue of 500 unit vectors with 40 ratings, as the benchmarks use."""
+    items = synthetic.catalogue(spark, 500, 16)
+    return items.join(synthetic.ratings(items, 40), "row_index", "left").select("row_index", "rating", F.sqrt(V.squared_norm(F.col("e"))).alias("norm"))
+
+
+def split(rows, share=0.8, seed=0):
+    """``rows`` with is_train: true up to a quantile of the order of a hash, so both parts have their exact size."""
+    hashed = rows.withColumn("h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("row_index").cast("string"))))
+    n = rows.count()
+    cut = hashed.orderBy("h", "row_index").offset(max(1, min(n - 1, int(share * n))) - 1).limit(1).select(F.struct("h", "row_index").alias("c"))
+    return hashed.crossJoin(F.broadcast(cut)).withColumn("is_train", F.struct("h", "row_index") <= F.col("c")).drop("h", "c")
+
+
 @query("WITH h AS (SELECT vec_id AS row_index, row_number() OVER (ORDER BY md5('0:' || vec_id), vec_id) AS k FROM embeddings), c AS (SELECT count(*) AS n FROM embeddings) SELECT row_index, k <= greatest(1, least(n - 1, CAST(floor(0.8 * n) AS BIGINT))) AS is_train FROM h, c")
 def train_test_split(spark, sf):
     """An exact, seeded split: rows up to the quantile of a hash."""
-    from pyspark.sql.window import Window
-
-    v = W.vectors(spark, sf).select("row_index", F.md5(F.concat_ws(":", F.lit("0"), F.col("row_index").cast("string"))).alias("h"))
-    n = v.count()
-    cut = v.orderBy("h", "row_index").offset(max(1, min(n - 1, int(0.8 * n))) - 1).limit(1)
-    c = cut.select(F.struct("h", "row_index").alias("c"))
-    return v.crossJoin(F.broadcast(c)).select("row_index", (F.struct("h", "row_index") <= F.col("c")).alias("is_train"))
+    return split(W.vectors(spark, sf)).select("row_index", "is_train")
 
 
 @query()

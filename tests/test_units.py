@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from preflux.config import DEFAULT, PreferenceConfig
 from preflux.functions import text as T
-from preflux.operators import acquire, benchstats, blr, corpus, gp, impute, learner, visual
+from preflux.operators import acquire, benchstats, blr, corpus, gp, impute, interfaces, learner, synthetic, visual
 from preflux.sources import readers, writers
 
 TRICKY = "ﬁrst line “x” ‘y’ – — −\r\nsecond\tline\rthird on\n\n\n\n\n\nlast ß  "
@@ -253,3 +253,25 @@ def test_visual(spark):
     assert len(e) == 3 and all(abs(sum(x * x for x in r.e) - 1) < 1e-9 for r in e)
     kept = visual.downsample(v, v.where("row_index = 49"), 10)
     assert kept.count() == 10 and 49 in {r.row_index for r in kept.collect()}
+
+
+def test_synthetic_and_interfaces(spark, tmp_path):
+    items = synthetic.catalogue(spark, 30, 5, 3)
+    same = synthetic.catalogue(spark, 30, 5, 3).repartition(7)
+    assert sorted(map(str, items.collect())) == sorted(map(str, same.collect()))
+    assert {r.row_index for r in synthetic.ratings(items, 10).collect()} == {r.row_index for r in synthetic.ratings(same, 10).collect()}
+    xy = interfaces.PCAReducer().fit(items).transform(items)
+    assert xy.columns == ["row_index", "x", "y"] and xy.count() == 30
+    made = []
+    for fresh in (False, False, True):
+        out = learner.reuse_scores(spark, str(tmp_path), "scores", lambda: made.append(1) or xy, fresh)
+    assert len(made) == 2 and out.count() == 30
+    texts = spark.createDataFrame([(0, "a b"), (1, "")], "row_index long, t string")
+    assert interfaces.HashingEncoder(8).encode(texts, "t").count() == 2
+
+
+def test_lower_solves():
+    low = np.linalg.cholesky(gp.kernel(*[data(150, 20)[0]] * 2, 1.0, 1.0) + 0.1 * np.eye(150))
+    b = np.arange(150.0)
+    assert np.allclose(low @ gp.lower_solve(low, b), b) and np.allclose(low.T @ gp.upper_solve(low, b), b)
+    assert np.allclose(low @ gp.lower_inverse(low), np.eye(150))
