@@ -88,8 +88,8 @@ def contained_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", i
     doc_sig = _signature(found, "doc_id").withColumn("cls", F.floor(F.log2("n")).cast("int"))
     item_sig = _signature(item_sets, "item_id").withColumnsRenamed({"n": "n_item", "sig": "item_sig"})
     doc_sig = materialize(doc_sig, "document-signatures")
-    classes = doc_sig.select("cls").distinct()  # at most 63 values
-    probes = item_sig.join(F.broadcast(classes)) .withColumn("bands", _bands(F.pow(F.lit(2.0), F.col("cls")), F.col("n_item")))
+    classes = [r["cls"] for r in doc_sig.select("cls").distinct().collect()]  # at most 63 values
+    probes = item_sig.withColumn("cls", F.explode(F.lit(classes).cast("array<int>") if classes else F.array().cast("array<int>"))).withColumn("bands", _bands(F.pow(F.lit(2.0), F.col("cls")), F.col("n_item")))
     probes = materialize(probes, "item-probes")
 
     item_bands = probes.where("bands > 0").select("item_id", "cls", F.posexplode(F.slice("item_sig", 1, F.col("bands"))).alias("band", "value"))
