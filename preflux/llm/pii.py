@@ -3,8 +3,9 @@
 The patterns' spans always stay. The field adds spans that the patterns miss
 (other separators, failed check digits). It is trained on the driver from the
 small labelled table below. Its chains are the stretches of a text within
-REACH words of a word with a digit or ``@``; words outside are no personal data
-by the model's definition. Batches of chains are decoded by Viterbi in numpy.
+REACH words of a word with a digit, ``@``, ``(at)`` or ``[at]``: each labelled
+span has such a word, and words outside are no personal data by the model's
+definition. Batches of chains are decoded by Viterbi in numpy.
 """
 
 from __future__ import annotations
@@ -101,6 +102,8 @@ phone [phone|0161 496 0000] or wait
 """
 
 _DIGIT = re.compile("[0-9]")
+#: What opens a chain.
+_GATE = re.compile(r"[0-9@]|\([Aa][Tt]\)|\[[Aa][Tt]\]")
 _TOKEN = re.compile(r"\S+")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
@@ -312,8 +315,8 @@ def trained_field() -> Field:
 
 
 def _chains(text: str) -> Iterator[list[tuple[int, int]]]:
-    """Token intervals of the stretches within REACH tokens of a token with a digit or ``@``."""
-    if not _DIGIT.search(text) and "@" not in text:
+    """Token intervals of the stretches within REACH tokens of a token that the gate fits."""
+    if not _GATE.search(text):
         return
     chain: list[tuple[int, int]] = []
     last: list[tuple[int, int]] = []  # up to REACH tokens before
@@ -321,7 +324,7 @@ def _chains(text: str) -> Iterator[list[tuple[int, int]]]:
     for m in _TOKEN.finditer(text):
         span = m.span()
         token = m[0]
-        if "@" in token or _DIGIT.search(token):
+        if _GATE.search(token):
             if not left:
                 if chain:
                     yield chain
