@@ -19,12 +19,28 @@ RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com"
 #: Up to so many rules are broadcast; more are joined by a shuffle.
 BROADCAST_RULES = 50_000
 
-_CANONICAL = (
-    r"""(?is)<link\b(?=[^>]{0,2000}\brel\s{0,9}=\s{0,9}["']?canonical\b)[^>]{0,2000}?\bhref\s{0,9}=\s{0,9}["']?([^"'\s>]+)"""
-)
-_REFRESH = (
-    r"""(?is)<meta\b(?=[^>]{0,2000}\bhttp-equiv\s{0,9}=\s{0,9}["']?refresh\b)[^>]{0,2000}?\burl\s{0,9}=\s{0,9}["']?([^"'\s>]+)"""
-)
+_TAG = r"(?i)<(?:link|meta)\b[^>]*"
+_CANONICAL = r"""(?is)^<link\b.*\brel\s*=\s*["']?canonical\b"""
+_REFRESH = r"""(?is)^<meta\b.*\bhttp-equiv\s*=\s*["']?refresh\b"""
+_HREF = r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)"""
+_URL = r"""(?i)\burl\s*=\s*["']?([^"'\s>]+)"""
+#: Basic entities; that of ``&`` comes last, so that no text is decoded twice.
+ENTITIES = (("lt|#0*60|#x0*3c", "<"), ("gt|#0*62|#x0*3e", ">"), ("quot|#0*34|#x0*22", '"'), ("apos|#0*39|#x0*27", "'"), ("amp|#0*38|#x0*26", "&"))
+
+
+def links_of(html: Column) -> Column:
+    """Every canonical link and refresh target of a page, in an array, entities decoded."""
+    tags = F.regexp_extract_all(html, F.lit(_TAG), F.lit(0))
+
+    def found(kind: str, value: str) -> Column:
+        return F.transform(F.filter(tags, lambda t: t.rlike(kind)), lambda t: F.regexp_extract(t, value, 1))
+
+    def decoded(link: Column) -> Column:
+        for names, char in ENTITIES:
+            link = F.regexp_replace(link, f"(?i)&(?:{names});", char)
+        return link
+
+    return F.transform(F.concat(found(_CANONICAL, _HREF), found(_REFRESH, _URL)), decoded)
 
 
 def host_of(url: Column) -> Column:
@@ -80,13 +96,10 @@ def filter_urls(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col:
     base = pages.select(
         F.col(id_col).alias("id"),
         F.col(url_col).alias("url"),
-        F.regexp_extract(html, _CANONICAL, 1).alias("canonical"),
-        F.regexp_extract(html, _REFRESH, 1).alias("refresh"),
-    )
-    base = base.select("id", "url", host_of(url).alias("host"), path_of(url).alias("path"), node_of(url).alias("node"), "canonical", "refresh")
-    links = base.where("node is not null and (canonical <> '' or refresh <> '')").select(
-        "node", F.explode(F.array(resolve(url, F.col("canonical")), resolve(url, F.col("refresh")))).alias("target")
+        links_of(html).alias("links"),
     )
+    base = base.select("id", "url", host_of(url).alias("host"), path_of(url).alias("path"), node_of(url).alias("node"), "links")
+    links = base.where("node is not null").select("node", "url", F.explode("links").alias("link")).select("node", resolve(url, F.col("link")).alias("target"))
     edges = materialize(links.where("target is not null").select(F.col("node").alias("a"), node_of(F.col("target")).alias("b"), "target").distinct(), "aliases")
     members = connected_components(edges)
     # Verdicts of whole components come from every url in them, crawled or not.
