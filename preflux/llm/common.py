@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +28,8 @@ def scratch_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_root:
         _own_root[app] = "file://" + tempfile.mkdtemp(prefix="preflux-")
@@ -63,5 +68,22 @@ def words(col: Column) -> Column:
     return F.filter(F.split(F.coalesce(col, F.lit("")), SPACE), lambda w: w != "")
 
 
-def size_class_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Of batches sorted by their first column: the columns of each key's rows, whole."""
+    parts: list[pa.RecordBatch] = []
+    for batch in batches:
+        key = batch.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+        for a, b in zip(cuts, cuts[1:]):
+            if a == b:
+                continue
+            if parts and parts[0].column(0)[0].as_py() != key[a]:
+                yield _columns(parts)
+                parts = []
+            parts.append(batch.slice(a, b - a))
+    if parts:
+        yield _columns(parts)
+
+
+def _columns(parts: list[pa.RecordBatch]) -> list[np.ndarray]:
+    return [c.to_numpy() for c in pa.Table.from_batches(parts).columns]

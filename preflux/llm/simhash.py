@@ -1,20 +1,22 @@
 """SimHash near-duplicates found with vantage-point trees.
 
-Distances between unrelated 64-bit fingerprints crowd around 32, so one tree
-over all of them could prune next to nothing at radius 4. Trees are therefore
-grown inside agreement groups: of the six parts of a fingerprint, two that
-differ in at most four bits leave at least two untouched, so each link shows in
-one of 15 groups "same two parts". A group with many members is first cut into
-shards by a vantage point, rows near the boundary going to both sides; each
-shard is then searched by its own tree with triangle bounds. Every link is an
-exact Hamming comparison, and a shard returns a spanning star of each cluster
-instead of all its pairs.
+Two fingerprints that differ in at most four bits agree in one of five parts of
+the 64, so rows are dealt to five groups by the low bits of each part; as many
+bits as leave ``GROUP_ROWS`` rows a group on average, none for a small table.
+This only spreads the search. Inside a group a vantage-point tree finds the
+links: each node splits its rows by their Hamming distance from a vantage
+point, and a batch of queries goes down to a child only where the triangle
+inequality allows a hit there. A group above ``SHARD_ROWS`` is first cut into
+shards by vantage points, rows near the boundary going to both sides, and each
+shard has its own tree. Rows that are joined already aren't compared again, so
+a dense cluster costs about its size, and a shard returns a star for each of
+its clusters instead of all pairs. Every link is an exact Hamming comparison.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -22,16 +24,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read
+from .common import discard, materialize, read, whole_keys
 from .graph import connected_components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
-#: Bits of the parts; RADIUS + 2 of them, so that two stay untouched.
-PARTS = (11, 11, 11, 11, 10, 10)
-#: Members of an agreement group from which it is cut into shards, and rounds of cutting.
-SHARD_ROWS, SHARD_ROUNDS = 40_000, 6
-#: Cells of a matrix of distances that is held at once.
-BLOCK = 1 << 20
+#: Bits of the parts; RADIUS + 1 of them, so that one stays untouched.
+PARTS = (13, 13, 13, 13, 12)
+#: Rows of a group on average, rows from which a group is cut into shards, and the share of its rows that a shard may hold at most (a tighter cluster stays whole).
+GROUP_ROWS, SHARD_ROWS, SHARD_SHARE = 2_000, 20_000, 0.9
+#: Rows of a leaf at most, and queries that go down a tree together.
+LEAF, QUERIES = 64, 4_096
 
 
 def fingerprint(text: str) -> int:
@@ -68,168 +70,154 @@ def with_fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _distance(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
-    return np.bitwise_count(a ^ b)
-
-
-class ShardTree:
-    """Links of one shard: a vantage-point search that unions what it finds."""
-
-    def __init__(self, fps: np.ndarray, nodes: np.ndarray):
-        self.fps, self.nodes = fps, nodes
-        self.links: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def _note(self, a: np.ndarray, b: np.ndarray) -> None:
-        if len(a):
-            self.links.append((a, b))
-
-    def _block(self, a: np.ndarray, b: np.ndarray) -> None:
-        """Links between the two sets, as stars: rows of ``a`` to their first hit, then hits to their first row."""
-        rows = max(1, BLOCK // len(b))
-        for at in range(0, len(a), rows):
-            part = a[at : at + rows]
-            near = _distance(self.fps[part][:, None], self.fps[b][None, :]) <= RADIUS
-            np.logical_and(near, part[:, None] != b[None, :], out=near)
-            label = np.arange(len(b))
-            seen = near.any(axis=0)
-            # Columns that share a row are one cluster: the row's first column stands for them.
-            while True:
-                first = np.where(near, label[None, :], len(b)).min(axis=1)
-                least = np.where(near, first[:, None], len(b)).min(axis=0)
-                better = np.minimum(label, np.where(seen, least, label))
-                if (better == label).all():
-                    break
-                label = better
-            hit = first < len(b)
-            self._note(part[hit], b[first[hit]])
-            moved = seen & (label != np.arange(len(b)))
-            self._note(b[moved], b[label[moved]])
-
-    def _cross(self, a: np.ndarray, b: np.ndarray) -> None:
-        todo = [(a, b)]
-        while todo:
-            a, b = todo.pop()
-            if not len(a) or not len(b):
-                continue
-            if len(a) * len(b) <= BLOCK:
-                self._block(a, b)
-                continue
-            v = self.fps[(a if len(a) >= len(b) else b)[0]]
-            da, db = _distance(self.fps[a], v).astype(np.int64), _distance(self.fps[b], v).astype(np.int64)
-            m = int(np.median(np.concatenate([da, db])))
-            parts = [
-                (a[da <= m], b[db <= m]),
-                (a[da > m], b[db > m]),
-                (a[(da <= m) & (da > m - RADIUS)], b[(db > m) & (db <= m + RADIUS)]),
-                (a[(da > m) & (da <= m + RADIUS)], b[(db <= m) & (db > m - RADIUS)]),
-            ]
-            if sum(len(x) * len(y) for x, y in parts) > 0.9 * len(a) * len(b):
-                self._block(a, b)  # nothing to prune
-            else:
-                todo += parts
-
-    def search(self) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of nodes that span every cluster of the shard."""
-        todo = [np.arange(len(self.fps))]
+    return np.bitwise_count(a ^ b).astype(np.int64)
+
+
+class Node:
+    """Rows order[start:end] of a tree; an inner node has a vantage point and, for each child, the range of its distances."""
+
+    __slots__ = ("start", "end", "vantage", "children", "ranges")
+
+    def __init__(self, start: int, end: int):
+        self.start, self.end = start, end
+        self.vantage, self.children, self.ranges = np.uint64(0), (), ()
+
+
+class VantageTree:
+    """Classes of the fingerprints of one shard, over links of at most RADIUS bits.
+
+    ``labels`` has for each row the least row known to be joined with it;
+    ``visits`` counts the nodes that queries have come to, ``compared`` the
+    pairs that leaves have compared.
+    """
+
+    def __init__(self, fps: np.ndarray):
+        self.fps = fps
+        self.labels = np.arange(len(fps))
+        self.order = np.arange(len(fps))
+        self.visits = self.compared = 0
+        self.root = Node(0, len(fps))
+        todo = [self.root]
         while todo:
-            s = todo.pop()
-            if len(s) < 2:
-                continue
-            if len(s) * len(s) <= BLOCK:
-                self._block(s, s)
-                continue
-            d = _distance(self.fps[s], self.fps[s[0]]).astype(np.int64)
-            near = d <= RADIUS
-            if 2 * near.sum() >= len(s):
-                # One cluster around the vantage point: its own pairs say nothing new.
-                self._note(s[near], np.full(near.sum(), s[0]))
-                self._cross(s[near & (d > 0)], s[~near & (d <= 2 * RADIUS)])
-                todo.append(s[~near])
-                continue
-            m = int(np.median(d))
-            m = m if (d > m).any() else int(d.max()) - 1
-            self._cross(s[(d <= m) & (d > m - RADIUS)], s[(d > m) & (d <= m + RADIUS)])
-            todo += [s[d <= m], s[d > m]]
-        if not self.links:
-            return self.nodes[:0], self.nodes[:0]
-        a, b = (self.nodes[np.concatenate(x)] for x in zip(*self.links, strict=True))
-        return a, b
-
-
-def _small_groups(keys: np.ndarray, fps: np.ndarray, nodes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links inside runs of one key of at most ``most`` rows, by comparing rows at each lag."""
-    a, b = [nodes[:0]], [nodes[:0]]
-    for lag in range(1, most):
-        same = np.flatnonzero(keys[lag:] == keys[:-lag])
-        if not len(same):
-            break
-        hit = same[_distance(fps[same], fps[same + lag]) <= RADIUS]
-        a.append(nodes[hit])
-        b.append(nodes[hit + lag])
-    return np.concatenate(a), np.concatenate(b)
-
-
-def _search_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, fp, node) sorted by key: links of each key's rows."""
-    small = 16
-    kept: list[np.ndarray] = [np.zeros(0, np.int64)] * 3
-
-    def links(k: np.ndarray, f: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        cuts = np.r_[0, np.flatnonzero(k[1:] != k[:-1]) + 1, len(k)]
-        sizes = np.diff(cuts)
-        size = np.repeat(sizes, sizes)
-        few = (size > 1) & (size <= small)
-        found = [_small_groups(k[few], f[few].view(np.uint64), n[few], small)]
-        for g in np.flatnonzero(sizes > small):
-            found.append(ShardTree(f[cuts[g] : cuts[g + 1]].view(np.uint64), n[cuts[g] : cuts[g + 1]]).search())
-        a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-        pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-    for batch in batches:
-        k, f, n = (np.concatenate([x, y.to_numpy()]) for x, y in zip(kept, batch.columns, strict=True))
-        if not len(k):
-            continue
-        last = int(np.searchsorted(k, k[-1], "left"))  # the last key's rows may go on in the next batch
-        if last:
-            yield from links(k[:last], f[:last], n[:last])
-        kept = [k[last:], f[last:], n[last:]]
-    if len(kept[0]):
-        yield from links(*kept)
+            node = todo.pop()
+            if node.end - node.start > LEAF:
+                self._split(node)
+                todo += node.children
+
+    def _split(self, node: Node) -> None:
+        rows = self.order[node.start : node.end]
+        node.vantage = self.fps[rows[0]]
+        d = _distance(self.fps[rows], node.vantage)
+        near = rows[d <= RADIUS]
+        self._join(near, np.full(len(near), rows[0]))
+        middle = min(int(np.median(d)), int(d.max()) - 1)
+        rank = np.argsort(d, kind="stable")
+        self.order[node.start : node.end], d = rows[rank], d[rank]
+        cut = int(np.searchsorted(d, middle, "right"))
+        node.children = Node(node.start, node.start + cut), Node(node.start + cut, node.end)
+        node.ranges = (d[0], d[cut - 1]), (d[cut], d[-1])
+
+    def _join(self, a: np.ndarray, b: np.ndarray) -> None:
+        while True:
+            x, y = self.labels[a], self.labels[b]
+            apart = x != y
+            if not apart.any():
+                return
+            parent = np.arange(len(self.fps))
+            np.minimum.at(parent, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+            while (parent != (above := parent[parent])).any():
+                parent = above
+            self.labels = parent[self.labels]
+
+    def search(self) -> np.ndarray:
+        """All rows are queries; returns their labels."""
+        for at in range(0, len(self.fps), QUERIES):
+            todo = [(self.root, self.order[at : at + QUERIES])]
+            while todo:
+                node, queries = todo.pop()
+                labels = self.labels[self.order[node.start : node.end]]
+                if (labels == labels[0]).all():
+                    queries = queries[self.labels[queries] != labels[0]]  # the others are joined with all of it
+                if not len(queries):
+                    continue
+                self.visits += len(queries)
+                if not node.children:
+                    self._leaf(node, queries)
+                    continue
+                d = _distance(self.fps[queries], node.vantage)
+                for child, (low, high) in zip(node.children, node.ranges, strict=True):
+                    reach = queries[(d + RADIUS >= low) & (d - RADIUS <= high)]
+                    if len(reach):
+                        todo.append((child, reach))
+        return self.labels
+
+    def _leaf(self, node: Node, queries: np.ndarray) -> None:
+        rows = self.order[node.start : node.end]
+        self.compared += len(queries) * len(rows)
+        near = np.bitwise_count(self.fps[queries][:, None] ^ self.fps[rows][None, :]) <= RADIUS
+        near &= self.labels[queries][:, None] != self.labels[rows][None, :]
+        if near.any():
+            x, y = np.nonzero(near)
+            self._join(queries[x], rows[y])
+
+
+def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, fp, node) sorted by key: a star of each cluster of each key's rows."""
+    for _, fps, nodes in whole_keys(batches):
+        labels = VantageTree(fps.view(np.uint64)).search()
+        joined = labels != np.arange(len(labels))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[joined]), pa.array(nodes[labels[joined]])], ["a", "b"])
+
+
+def _figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for keys, fps, _ in whole_keys(batches):
+        tree = VantageTree(fps.view(np.uint64))
+        tree.search()
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (keys[0], len(fps), tree.visits, tree.compared)], ["key", "n", "visits", "compared"])
 
 
 def _cut_hot_groups(rows: DataFrame, most: int) -> DataFrame:
-    """Groups of more than ``most`` rows cut into shards by a vantage point.
+    """Groups of more than ``most`` rows cut into shards by a vantage point, until none is left that can be cut.
 
-    Members up to the median radius go to the inner shard, the others to the
-    outer one, and those of the others within RADIUS of the boundary to both,
-    so no link is lost. A cluster too tight to be cut stays whole: its tree
-    joins it in few passes.
+    With m the median distance, rows up to m + RADIUS / 2 go to the inner shard
+    and rows above m - RADIUS / 2 to the outer one: two rows of a link differ by
+    RADIUS at most in their distances, so one shard has both.
     """
-    for _ in range(SHARD_ROUNDS):
-        hot = materialize(
-            rows.groupBy("key").agg(F.count("*").alias("n"), F.min_by("fp", F.xxhash64("fp")).alias("v")).where(F.col("n") > most), "hot-groups"
-        )
-        if hot.isEmpty():
-            return rows
+    half = RADIUS // 2
+    while True:
+        hot = rows.groupBy("key").agg(F.count("*").alias("n"), F.min_by("fp", F.xxhash64("fp")).alias("v")).where(F.col("n") > most)
         far = rows.join(hot, "key").withColumn("d", F.bit_count(F.col("fp").bitwiseXOR(F.col("v"))))
-        radius = far.groupBy("key").agg(F.percentile_approx("d", 0.5).alias("m"))
-        cut = far.join(radius, "key")
-        inner = cut.where(F.col("d") <= F.col("m") + RADIUS).select(F.xxhash64("key", F.lit(0)).alias("key"), "fp", "node")
-        outer = cut.where(F.col("d") > F.col("m")).select(F.xxhash64("key", F.lit(1)).alias("key"), "fp", "node")
-        rows = materialize(rows.join(hot, "key", "left_anti").unionByName(inner).unionByName(outer), "shards")
-    return rows
+        middle = far.groupBy("key").agg(F.percentile_approx("d", 0.5).alias("m"))
+        inner, outer = F.col("d") <= F.col("m") + half, F.col("d") > F.col("m") - half
+        sizes = far.join(middle, "key").groupBy("key", "v", "m").agg(F.count("*").alias("n"), F.count_if(inner).alias("i"), F.count_if(outer).alias("o"))
+        cuts = materialize(sizes.where(F.greatest("i", "o") <= SHARD_SHARE * F.col("n")).select("key", "v", "m"), "cuts")
+        if cuts.isEmpty():
+            return rows
+        sides = F.array_compact(F.array(F.when(inner, 0), F.when(outer, 1)))
+        shards = rows.join(cuts, "key").withColumn("d", F.bit_count(F.col("fp").bitwiseXOR(F.col("v")))).withColumn("side", F.explode(sides))
+        rows = materialize(rows.join(cuts, "key", "left_anti").unionByName(shards.select(F.xxhash64("key", "side").alias("key"), "fp", "node")), "shards")
+
+
+def search_groups(reps: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """(key, fp, node): the shards that the distinct fingerprints ``reps`` (fp, node) are searched in, sorted by key."""
+    spare = reps.count() / GROUP_ROWS
+    bits = min(*PARTS, math.ceil(math.log2(spare))) if spare > 1 else 0
+    parts = [F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << bits) - 1)) for at in np.cumsum((0, *PARTS[:-1])).tolist()]
+    # Without bits all five groups would be the same one.
+    keys = F.array(*[F.xxhash64(F.lit(i), p) for i, p in enumerate(parts)][: 5 if bits else 1])
+    rows = _cut_hot_groups(reps.select(F.explode(keys).alias("key"), "fp", "node"), shard_rows)
+    # So many partitions whatever their bytes: a group costs more time than room.
+    return rows.repartition(int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key")
 
 
 def fingerprint_links(reps: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(a, b): links that span every cluster of the distinct fingerprints ``reps`` (fp, node)."""
-    fp, at, values = F.col("fp"), 0, []
-    for bits in PARTS:
-        values.append(F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << bits) - 1)))
-        at += bits
-    groups = F.array(*[F.xxhash64(F.lit(i), values[x], values[y]) for i, (x, y) in enumerate(combinations(range(len(PARTS)), 2))])
-    rows = _cut_hot_groups(reps.select(F.explode(groups).alias("key"), "fp", "node"), shard_rows)
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_search_sorted, "a long, b long").distinct()
+    return search_groups(reps, shard_rows).mapInArrow(_search, "a long, b long").distinct()
+
+
+def search_figures(reps: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """(key, n, visits, compared) per shard: its rows, node visits of its queries, and pairs compared (of n * n)."""
+    return search_groups(reps, shard_rows).mapInArrow(_figures, "key long, n long, visits long, compared long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -244,6 +232,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = materialize(fps.groupBy("fp").agg(F.min("id").alias("node")).where("node is not null"), "representatives")
     links = materialize(fingerprint_links(reps, shard_rows), "fingerprint-links")
     parts = connected_components(links)
+    discard(links)
     classes = reps.join(parts, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return fps.join(classes, "fp", "left").select(F.col("id").alias(id_col), "fp", "component_id")
 

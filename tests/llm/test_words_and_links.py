@@ -6,6 +6,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 import xxhash
 
 from preflux.llm import decontaminate, graph, registry, sharding, simhash, url_filter
@@ -58,7 +59,7 @@ def test_simhash_odd(odd, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
-@pytest.mark.parametrize("limit", [4, 10**6])
+@pytest.mark.parametrize("limit", [4, 40, 10**6])
 def test_links_of_clusters(spark, limit):
     """Tight and loose clusters, searched in shards of few rows and in one tree."""
     r = np.random.default_rng(5)
@@ -81,10 +82,22 @@ def test_links_of_clusters(spark, limit):
     assert [parts.get(n, n) for n in range(len(fps))] == [least[root[f]] for f in fps]
 
 
+def test_trees_search_the_documents(spark):
+    """Every group of the middle tables is searched by a tree that visits nodes and leaves pairs out."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    fps = simhash.with_fingerprints(docs, "doc_id", "text").groupBy("fp").agg(F.min("id").alias("node"))
+    rows = simhash.search_figures(fps).collect()
+    assert len(rows) > 5 and sum(r.n for r in rows) == 5 * fps.count()
+    assert all(r.visits > 0 for r in rows) and 0 < sum(r.compared for r in rows) < sum(r.n**2 for r in rows)
+
+
 def test_tree_alone():
     r = np.random.default_rng(7)
     fps = np.unique(np.r_[r.integers(0, 1 << 63, 3000, dtype=np.uint64), np.arange(3000, dtype=np.uint64) * np.uint64(7)])
-    a, b = simhash.ShardTree(fps, np.arange(len(fps))).search()
+    tree = simhash.VantageTree(fps)
+    labels = tree.search()
+    a, b = np.arange(len(fps)), labels
+    assert tree.visits > 0 and 0 < tree.compared < len(fps) ** 2
     near = [(i, j) for i in range(len(fps)) for j in (np.flatnonzero(np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= 4) + i + 1).tolist()]
 
     def classes(pairs):
