@@ -3,8 +3,8 @@
 import corpus_pipeline as cp
 from preflux.llm import bpe, pii, quality
 
+from .test_near_copies import brute_stay
 from .test_texts import brute_statistics
-from .test_words_and_links import brute_classes, brute_fingerprint
 
 
 def texts(df):
@@ -24,12 +24,8 @@ def test_stages(spark, docs, sf):
     assert texts(kept) == sorted(want, key=str) and kept.columns == docs.columns
 
     unique = stages["SimHash near-dedup"](spark, kept, sf)
-    fps = {i: brute_fingerprint(t) for i, t in want}
-    root = brute_classes(set(fps.values()))
-    least = {}
-    for i in sorted(fps):
-        least.setdefault(root[fps[i]], i)
-    want = [(i, t) for i, t in want if least[root[fps[i]]] == i]
+    stay = brute_stay(sorted(want))
+    want = [(i, t) for i, t in want if i in stay]
     assert texts(unique) == sorted(want, key=str) and unique.columns == docs.columns
 
     clean = stages["benchmark decontamination"](spark, unique, sf)
