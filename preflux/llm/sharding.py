@@ -6,9 +6,9 @@ capacity; what overflows continues clockwise to the next arc whose shard has
 room. Capacities add up to the number of rows and differ by one at most, so
 the law ``rows`` holds by construction, and only the overflow leaves its home.
 
-The driver sees one count per arc (a bound that depends on the ring, not on
-the data) and turns it into rank intervals; rows find their interval by an
-equi-join on the arc.
+The driver sees one count per cell of the ring (2**16, a bound that depends on
+the ring, not on the data) and turns them into rank intervals of each arc; rows
+are ranked within their cell and find their interval by an equi-join on the arc.
 """
 
 from __future__ import annotations
@@ -82,30 +82,35 @@ def bounded_ring(rows: DataFrame, key: str, order: list[str], shards: int = SHAR
     slots. An empty table gives no rows; columns named like the results are replaced.
     """
     spark = rows.sparkSession
-    rows = rows.drop("home_shard", "shard", "slot")
     nodes = ring(shards, vnodes)
-    # 2**16 rows whatever the data: safe to broadcast.
-    cells = spark.range(1 << CELL_BITS).select(
-        F.col("id").cast("int").alias("__cell"),
-        F.element_at(F.from_json(F.lit(str(arc_of_cell(nodes))), "array<int>"), F.col("id").cast("int") + 1).alias("__arc"),
-    )
-    place = F.coalesce(F.when(F.col(key).isNotNull(), F.xxhash64(F.col(key))), F.xxhash64(*order))
-    placed = rows.withColumn("__hash", place).withColumn("__cell", F.shiftrightunsigned("__hash", 64 - CELL_BITS).cast("int")).join(F.broadcast(cells), "__cell")
-    counts = {r["__arc"]: r["n"] for r in placed.groupBy("__arc").agg(F.count("*").alias("n")).collect()}
+    arcs, homes = arc_of_cell(nodes), [s for _, s in nodes]
+    rows = rows.drop("home_shard", "shard", "slot")
+    at = F.coalesce(F.when(F.col(key).isNotNull(), F.xxhash64(F.col(key))), F.xxhash64(*order))
+    # The row travels as one struct, so that no name of its columns can clash with those below.
+    placed = rows.select(F.struct(*rows.columns).alias("row"), F.col(key).alias("key"), F.struct(*order).alias("order"), at.alias("hash"))
+    placed = placed.withColumn("cell", F.shiftrightunsigned("hash", 64 - CELL_BITS).cast("int"))
+    # 2**16 counts at most whatever the data; so are the cells that are broadcast.
+    cells, counts = [], {}
+    for cell, n in sorted(tuple(r) for r in placed.groupBy("cell").agg(F.count("*")).collect()):
+        cells.append((cell, arcs[cell], counts.get(arcs[cell], 0)))
+        counts[arcs[cell]] = counts.get(arcs[cell], 0) + n
     segments = plan_segments(counts, nodes, shards)
-    homes = [s for _, s in nodes]
     table = spark.createDataFrame(
         [(a, lo, hi, homes[a], s, slot) for a, lo, hi, s, slot in segments],
-        "__arc int, __lo long, __hi long, home_shard int, shard int, __slot long",
+        "arc int, lo long, hi long, home_shard int, shard int, first_slot long",
+    )
+    # Ranks are counted cell by cell, so that a task sorts a cell and not an arc.
+    within = Window.partitionBy("cell").orderBy("hash", "key", "order")
+    ranked = (
+        placed.withColumn("rank", (F.row_number().over(within) - 1).cast("long"))
+        .join(F.broadcast(spark.createDataFrame(cells, "cell int, arc int, before long")), "cell")
+        .withColumn("rank", F.col("rank") + F.col("before"))
     )
-    within = Window.partitionBy("__arc").orderBy("__hash", key, *order)
-    ranked = placed.withColumn("__rank", (F.row_number().over(within) - 1).cast("long"))
     # One segment per arc, and one more for each time that a shard fills up: bounded by the ring.
     return (
-        ranked.join(F.broadcast(table), "__arc")
-        .where((F.col("__rank") >= F.col("__lo")) & (F.col("__rank") < F.col("__hi")))
-        .withColumn("slot", F.col("__slot") + F.col("__rank") - F.col("__lo"))
-        .drop("__arc", "__cell", "__hash", "__rank", "__lo", "__hi", "__slot")
+        ranked.join(F.broadcast(table), "arc")
+        .where((F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
+        .select("row.*", "home_shard", "shard", (F.col("first_slot") + F.col("rank") - F.col("lo")).alias("slot"))
     )
 
 
