@@ -46,7 +46,7 @@ block [ip|300.12.8.1] and log
 traffic of [ip|203.0.113.77] grew
 net [ip|121.9.200.33]/24 is ours
 card [card|4417123456789113] was charged
-paid with [card|4929348385146306] in all
+paid with [card|4929001182736452] in all
 number [card|5500 0000 0000 0004] expires
 use [card|6011-1111-1111-1117] here
 visa [card|4532 7597 3454 5858], please
