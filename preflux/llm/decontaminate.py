@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialize, read
+from .common import ascii_lower, discard, materialize, read
 
 SHINGLE, CONTAINMENT = 5, 0.8
 BANDS, MISS = 48, 1e-7
@@ -106,12 +106,16 @@ def contained_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", i
         .groupBy("doc_id", "item_id")
         .agg(F.count("*").alias("n_shared"))
     )
-    return (
+    out = (
         shared.join(side(sizes_of), "item_id")
         .withColumn("containment", F.round(F.col("n_shared") / F.col("n_item"), 6))
         .where(F.col("n_shared") >= F.ceil(F.col("n_item") * CONTAINMENT))
         .select("doc_id", "item_id", "n_shared", "n_item", "containment")
     )
+    out = materialize(out, "contained-items")
+    for table in (item_sets, found, doc_sig, probes):
+        discard(table)
+    return out
 
 
 def op7_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:

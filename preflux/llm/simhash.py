@@ -232,8 +232,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = materialize(fps.groupBy("fp").agg(F.min("id").alias("node")).where("node is not null"), "representatives")
     links = materialize(fingerprint_links(reps, shard_rows), "fingerprint-links")
     parts = connected_components(links)
-    discard(links)
-    classes = reps.join(parts, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    classes = materialize(reps.join(parts, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id")), "classes")
+    for table in (reps, links, parts):
+        discard(table)
     return fps.join(classes, "fp", "left").select(F.col("id").alias(id_col), "fp", "component_id")
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialize, read
+from .common import ascii_lower, discard, materialize, read
 from .graph import connected_components
 
 #: (host, path, verdict)
@@ -110,7 +110,9 @@ def filter_urls(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col:
     groups = members.join(ruled, "node").groupBy("component").agg(
         F.when(F.max((F.col("rule_verdict") == "allow").cast("int")) == 1, "allow").otherwise("block").alias("group_verdict")
     )
-    aliases = members.join(groups, "component", "left")
+    aliases = materialize(members.join(groups, "component", "left"), "alias-verdicts")
+    for table in (edges, members):
+        discard(table)
     own = match_rules(base.select(F.struct("host", "path").alias("key"), "host", "path").distinct(), "key", "host", "path", table, len(rules)).select(
         F.col("key.host").alias("host"), F.col("key.path").alias("path"), "rule", "rule_verdict"
     )
