@@ -207,7 +207,7 @@ def _own_features(token: str) -> tuple[str, ...]:
     return _kept_features(token) if len(token) <= KEPT_CHARS else _features(token)
 
 
-@lru_cache(maxsize=100_000)
+@lru_cache(maxsize=20_000)
 def _kept_features(token: str) -> tuple[str, ...]:
     return _features(token)
 

@@ -111,8 +111,8 @@ def filter_urls(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col:
         F.when(F.max((F.col("rule_verdict") == "allow").cast("int")) == 1, "allow").otherwise("block").alias("group_verdict")
     )
     aliases = materialize(members.join(groups, "component", "left"), "alias-verdicts")
-    for table in (edges, members):
-        discard(table)
+    for used in (edges, members):
+        discard(used)
     own = match_rules(base.select(F.struct("host", "path").alias("key"), "host", "path").distinct(), "key", "host", "path", table, len(rules)).select(
         F.col("key.host").alias("host"), F.col("key.path").alias("path"), "rule", "rule_verdict"
     )
