@@ -24,8 +24,7 @@ def query(sql: str | None = None):
 
 
 def keyed(spark, sf):
-    p = W.poems(spark, sf).withColumns({"text": T.normalize_text(F.col("text")), "title": T.normalize_text(F.col("title"))})
-    return readers.with_keys(p)
+    return readers.with_keys(W.poems(spark, sf))
 
 
 def ranked(spark, sf):
@@ -33,7 +32,7 @@ def ranked(spark, sf):
 
 
 def audit(spark, sf):
-    return W.poems(spark, sf).groupBy("source_name").agg(F.count("*").alias("rows_loaded"), F.count("text").alias("rows_canonical"))
+    return W.poems(spark, sf).groupBy("source_name").agg(F.count("*").alias("rows_loaded"), F.count("*").alias("rows_canonical"))
 
 
 @query("SELECT doc_id, lang, source, n_chars FROM documents")
@@ -49,10 +48,7 @@ def scan_embeddings(spark, sf):
 @query("SELECT doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents) WHERE n <= 10")
 def per_source_limit(spark, sf):
     """The first ten rows of each source: the limit is the feature."""
-    from pyspark.sql.window import Window
-
-    n = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    return W.table(spark, sf, "documents").withColumn("n", n).where("n <= 10").select("doc_id", "source")
+    return readers.first_rows_by(W.table(spark, sf, "documents").select("doc_id", "source"), "source", 10, ["doc_id"])
 
 
 @query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, substr(text, 1, 300) AS text, lang, source, CAST(n_chars AS VARCHAR) AS n_chars FROM documents ORDER BY documents.doc_id LIMIT 5")
@@ -159,14 +155,14 @@ def combine_sources(spark, sf):
     return readers.combine([W.table(spark, sf, n).selectExpr(f"'{n}' AS source_name", f"{i} AS id", "text") for n, i in parts])
 
 
-@query("WITH " + W.POEMS + " SELECT source_name, count(*) AS rows_loaded, count(text) AS rows_canonical FROM poems GROUP BY source_name")
+@query("WITH " + W.POEMS + " SELECT source_name, count(*) AS rows_loaded, count(*) AS rows_canonical FROM poems GROUP BY source_name")
 def source_audit(spark, sf):
     return audit(spark, sf)
 
 
 @query("WITH " + W.RANKED + " SELECT poem_id, text_hash_loose, duplicate_group_size FROM ranked WHERE dedupe_rank = 0")
 def dedupe_kept(spark, sf):
-    return ranked(spark, sf).where("kept_representative").select("poem_id", "text_hash_loose", "duplicate_group_size")
+    return corpus.kept_rows(keyed(spark, sf)).drop("source_name")
 
 
 @query("WITH " + W.RANKED + " SELECT poem_id, text_hash_loose, dedupe_rank FROM ranked WHERE dedupe_rank > 0")
@@ -179,33 +175,38 @@ def dedupe_summary(spark, sf):
     return corpus.dedupe_summary(keyed(spark, sf))
 
 
-@query("WITH " + W.RANKED + " SELECT text_hash_loose, dedupe_rank = 0 AS kept_representative, dedupe_rank, duplicate_group_size, source_priority, source_name, poem_id, title, poet, CAST(text_len AS INT) AS text_len, text_hash FROM ranked")
+@query(
+    "WITH " + W.RANKED + " SELECT text_hash_loose, dedupe_rank = 0 AS kept_representative, dedupe_rank, duplicate_group_size, source_priority, source_name, 'parquet' AS source_kind, 'documents' AS source_location, poem_id,"
+    " CAST(row_index AS VARCHAR) AS source_row_id, title, poet, CAST(text_len AS INT) AS text_len, 'invented' AS license_family, normalized_title, normalized_poet, text_hash, sha1(normalized_title || chr(10) || normalized_poet) AS title_poet_key,"
+    " sha1(normalized_title || chr(10) || normalized_poet || chr(10) || text_hash_loose) AS title_poet_text_key FROM ranked"
+)
 def duplicate_groups(spark, sf):
-    return ranked(spark, sf).select("text_hash_loose", "kept_representative", "dedupe_rank", "duplicate_group_size", "source_priority", "source_name", "poem_id", "title", "poet", "text_len", "text_hash")
+    about = {"source_kind": F.lit("parquet"), "source_location": F.lit("documents"), "license_family": F.lit("invented"), "source_row_id": F.col("row_index").cast("string")}
+    return corpus.duplicate_report(ranked(spark, sf).withColumns(about))
 
 
 @query(
     "WITH " + W.RANKED + """, g AS (SELECT *, dedupe_rank = 0 AS kept FROM ranked), c AS (SELECT text_hash_loose FROM g GROUP BY 1 HAVING count(DISTINCT source_name) > 1),
 s AS (SELECT source_name, count(*) FILTER (kept) AS kept_rows, count(*) FILTER (NOT kept) AS dropped_rows, count(DISTINCT text_hash_loose) FILTER (kept) AS groups_won, count(DISTINCT text_hash_loose) FILTER (NOT kept) AS groups_lost,
  count(DISTINCT text_hash_loose) AS groups_touched, count(DISTINCT text_hash_loose) FILTER (text_hash_loose IN (SELECT text_hash_loose FROM c)) AS conflict_groups_touched FROM g GROUP BY source_name),
-a AS (SELECT source_name, count(*) AS rows_loaded, count(text) AS rows_canonical FROM poems GROUP BY source_name)
+a AS (SELECT source_name, count(*) AS rows_loaded, count(*) AS rows_canonical FROM poems GROUP BY source_name)
 SELECT a.*, coalesce(kept_rows, 0) AS kept_rows, coalesce(dropped_rows, 0) AS dropped_rows, coalesce(groups_won, 0) AS groups_won, coalesce(groups_lost, 0) AS groups_lost, coalesce(groups_touched, 0) AS groups_touched, coalesce(conflict_groups_touched, 0) AS conflict_groups_touched,
  round(coalesce(kept_rows / nullif(rows_canonical, 0), 0), 6) AS retention_rate_from_canonical, round(coalesce(dropped_rows / nullif(rows_canonical, 0), 0), 6) AS drop_rate_from_canonical, round(coalesce(conflict_groups_touched / nullif(groups_touched, 0), 0), 6) AS conflict_group_rate
 FROM a LEFT JOIN s USING (source_name)"""
 )
 def source_summary(spark, sf):
-    out = corpus.source_summary(audit(spark, sf), ranked(spark, sf))
+    out = corpus.source_summary(audit(spark, sf), keyed(spark, sf))
     return out.withColumns({c: F.round(c, 6) for c in ("retention_rate_from_canonical", "drop_rate_from_canonical", "conflict_group_rate")})
 
 
 @query("WITH " + W.RANKED + ", p AS (SELECT DISTINCT text_hash_loose, source_name FROM ranked) SELECT a.source_name AS source_a, b.source_name AS source_b, count(*) AS shared_duplicate_groups FROM p a JOIN p b USING (text_hash_loose) WHERE a.source_name < b.source_name GROUP BY ALL")
 def source_overlap(spark, sf):
-    return corpus.source_overlap(ranked(spark, sf))
+    return corpus.source_overlap(keyed(spark, sf))
 
 
 @query("WITH " + W.RANKED + ", g AS (SELECT text_hash_loose, min(source_name) FILTER (dedupe_rank = 0) AS winner_source FROM ranked GROUP BY 1 HAVING count(DISTINCT source_name) > 1), l AS (SELECT DISTINCT text_hash_loose, source_name AS loser_source FROM ranked WHERE dedupe_rank > 0) SELECT winner_source, loser_source, count(*) AS duplicate_groups_won FROM l JOIN g USING (text_hash_loose) GROUP BY ALL")
 def source_winloss(spark, sf):
-    return corpus.source_winloss(ranked(spark, sf))
+    return corpus.source_winloss(keyed(spark, sf))
 
 
 @query("WITH " + W.POEMS + " SELECT poet, count(*) AS n_poems FROM poems GROUP BY poet HAVING count(*) >= 3")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 from pathlib import PurePosixPath
@@ -13,7 +14,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 
-#: First match wins.
+# Column names by role; the first match wins.
 CANDIDATES = {
     "text": ("text", "poem", "content", "body"),
     "title": ("title", "poem_title", "name"),
@@ -22,6 +23,7 @@ CANDIDATES = {
 }
 
 
+# The fields of a manifest entry and their defaults.
 @dataclass(frozen=True)
 class SourceSpec:
     name: str
@@ -68,31 +70,63 @@ def select_sources(specs: list[SourceSpec], names: set[str] | None = None) -> li
     return chosen
 
 
-def scan(spark: SparkSession, spec: SourceSpec, hub_root: str | None = None) -> DataFrame:
-    """The raw rows of a source; kinds ``local`` (by suffix), a format's name, or ``hub`` (parquet under hub_root)."""
-    if spec.kind in ("hub", "hf_dataset"):
+HUB_KINDS = ("huggingface", "hub", "hf_dataset")
+#: Where a row stands in its source: number of the part, file, start of the block in the file, and a number that rises within the block.
+POSITION = ("__part", "__file", "__block", "__row")
+
+
+def scan(spark: SparkSession, spec: SourceSpec, hub_root: str | None = None, position: bool = False) -> DataFrame:
+    """The raw rows of a source: kind ``huggingface`` (parquet under hub_root, the folder that mirrors the hub), a format's name, or ``local`` (by suffix).
+
+    ``position`` adds the columns POSITION, by which the rows can be put in file order.
+    """
+
+    def placed(df: DataFrame, part: int = 0) -> DataFrame:
+        where = (F.lit(part), F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+        return df.select("*", *[c.alias(n) for c, n in zip(where, POSITION, strict=True)]) if position else df
+
+    if spec.kind in HUB_KINDS:
         if hub_root is None:
             raise ValueError("a hub source needs hub_root, the folder that mirrors it")
-        parts = [spark.read.parquet(f"{hub_root}/{spec.location}/{s.strip()}") for s in spec.split.split("+")]
+        parts = [placed(spark.read.parquet("/".join(x for x in (hub_root, spec.location, s.strip()) if x)), i) for i, s in enumerate(spec.split.split("+"))]
         return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     suffix = PurePosixPath(spec.location).suffix.lstrip(".").lower()
     kind = suffix if spec.kind in ("local", "file", "local_file") else spec.kind
     if kind == "parquet":
-        return spark.read.parquet(spec.location)
+        return placed(spark.read.parquet(spec.location))
     if kind == "csv":
-        return spark.read.csv(spec.location, header=True, inferSchema=True, multiLine=True, escape='"')
+        return placed(spark.read.csv(spec.location, header=True, inferSchema=True, multiLine=True, escape='"'))
     if kind in ("jsonl", "ndjson"):
-        return spark.read.json(spec.location)
+        return placed(spark.read.json(spec.location))
     if kind == "json":
-        return spark.read.json(spec.location, multiLine=True)
+        return placed(spark.read.json(spec.location, multiLine=True))
     raise ValueError(f"unsupported source kind or suffix: {kind or spec.kind}")
 
 
-def first_rows(df: DataFrame, n: int, order: list[str]) -> DataFrame:
-    """The first n rows in a given order; a bare limit has none."""
+def first_rows(df: DataFrame, n: int, order: Sequence[str] = POSITION) -> DataFrame:
+    """The first n rows in a given order, file order by default; a bare limit has none."""
     return df.orderBy(*order).limit(n)
 
 
+def first_rows_by(df: DataFrame, group: str, n: int, order: Sequence[str]) -> DataFrame:
+    """The first n rows of each group: the least n are kept while rows are read, so a large group is never sorted whole."""
+    row = F.struct(*order, F.struct(*[c for c in df.columns if c not in order]).alias("rest"))
+    # Groups are first cut down within salts, then once more over what the salts have left.
+    salted = df.select(group, F.pmod(F.xxhash64(*order), F.lit(64)).alias("salt"), row.alias("row"))
+    some = salted.withColumn("k", F.row_number().over(Window.partitionBy(group, "salt").orderBy("row"))).where(F.col("k") <= n)
+    best = some.withColumn("k", F.row_number().over(Window.partitionBy(group).orderBy("row"))).where(F.col("k") <= n)
+    return best.select(*[F.col(f"row.{c}" if c in order else f"row.rest.{c}").alias(c) for c in df.columns])
+
+
+def row_numbers(df: DataFrame) -> DataFrame:
+    """``df`` (with POSITION) with ``row_number``, counted from 0 in file order: rows are numbered block by block, and only one count a block is added up in one place."""
+    block = list(POSITION[:3])
+    sizes = df.groupBy(*block).agg(F.count("*").alias("n"))
+    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    own = F.row_number().over(Window.partitionBy(*block).orderBy(POSITION[3])) - 1
+    return df.withColumn("row_number", own).join(before, block).withColumn("row_number", F.col("row_number") + F.col("before")).drop("before")
+
+
 def detect_columns(df: DataFrame) -> DetectedColumns:
     def pick(role: str) -> str | None:
         return next((c for c in CANDIDATES[role] if c in df.columns), None)
@@ -105,8 +139,8 @@ def detect_columns(df: DataFrame) -> DetectedColumns:
 def canonicalize(df: DataFrame, row_order: list[str] | None = None) -> DataFrame:
     """(poem_id, title, poet, text) as strings; missing columns and nulls are empty, a missing id is the row number.
 
-    Null ids stay null. ``row_order`` makes row numbers stable where there is
-    no id column; it defaults to the text.
+    Null ids stay null. Row numbers follow the file where ``df`` has the columns
+    POSITION, else ``row_order``, which defaults to the text.
     """
     c = detect_columns(df)
 
@@ -115,6 +149,9 @@ def canonicalize(df: DataFrame, row_order: list[str] | None = None) -> DataFrame
 
     if c.poem_id:
         identity = F.col(c.poem_id).cast("string")
+    elif set(POSITION) <= set(df.columns):
+        df = row_numbers(df)
+        identity = F.col("row_number").cast("string")
     else:
         # One ordered pass over a source that has no ids at all: its rows have no key to partition by.
         identity = (F.row_number().over(Window.orderBy(*(row_order or [c.text]))) - 1).cast("string")
@@ -123,27 +160,30 @@ def canonicalize(df: DataFrame, row_order: list[str] | None = None) -> DataFrame
 
 def enrich(canonical: DataFrame, spec: SourceSpec) -> DataFrame:
     """Canonical rows with provenance, normalised fields, hashes and keys."""
-    tidy = canonical.withColumns({k: T.normalize_text(F.col(k)) for k in ("title", "poet", "text")})
-    tidy = tidy.withColumns(
-        {
-            "source_name": F.lit(spec.name), "source_kind": F.lit(spec.kind), "source_location": F.lit(spec.location), "source_split": F.lit(spec.split),
-            "source_language": F.lit(spec.language), "license_family": F.lit(spec.license_family), "source_priority": F.lit(spec.priority),
-            "source_row_id": F.col("poem_id"), "poem_id": F.concat(F.lit(f"{spec.name}:"), F.coalesce("poem_id", F.lit("null"))),
-        }
+    return with_keys(
+        canonical.withColumns(
+            {
+                "source_name": F.lit(spec.name), "source_kind": F.lit(spec.kind), "source_location": F.lit(spec.location), "source_split": F.lit(spec.split),
+                "source_language": F.lit(spec.language), "license_family": F.lit(spec.license_family), "source_priority": F.lit(spec.priority),
+                "source_row_id": F.col("poem_id"), "poem_id": F.concat(F.lit(f"{spec.name}:"), F.coalesce("poem_id", F.lit("null"))),
+            }
+        )
     )
-    return with_keys(tidy)
 
 
 def with_keys(df: DataFrame) -> DataFrame:
-    """Normalised fields, hashes, keys, length and score of rows whose title, poet and text are tidy already."""
+    """Title, poet and text normalised, with their loose forms, hashes, keys, length and score; each text is normalised once."""
+    f = "__fields."
     return (
-        df.withColumns(
+        df.withColumn("__fields", T.normalize_fields(F.col("title"), F.col("poet"), F.col("text")))
+        .withColumns(
             {
-                "normalized_title": T.normalize_metadata(F.col("title")), "normalized_poet": T.normalize_metadata(F.col("poet")),
-                "normalized_text": F.col("text"), "normalized_text_loose": T.loose(F.col("text")),
+                **{c: F.col(f + c) for c in ("title", "poet", "text")}, "normalized_title": F.col(f + "title_loose"), "normalized_poet": F.col(f + "poet_loose"),
+                "normalized_text": F.col(f + "text"), "normalized_text_loose": F.col(f + "text_loose"),
+                "text_hash": F.sha1(f + "text"), "text_hash_loose": F.sha1(f + "text_loose"),
             }
         )
-        .withColumns({"text_hash": F.sha1("normalized_text"), "text_hash_loose": F.sha1("normalized_text_loose")})
+        .drop("__fields")
         .withColumns(
             {
                 "title_poet_key": F.sha1(F.concat_ws("\n", "normalized_title", "normalized_poet")),
@@ -159,21 +199,31 @@ def combine(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def load_sources(spark: SparkSession, specs: list[SourceSpec], limit: int | None = None, hub_root: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """All chosen sources as one enriched frame, and an audit row each (rows_loaded, rows_canonical, detected_columns)."""
+def load_sources(
+    spark: SparkSession, specs: list[SourceSpec], limit: int | None = None, hub_root: str | None = None, names: set[str] | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """All chosen sources as one enriched frame, and an audit row each.
+
+    ``limit`` takes the first rows of each source in file order.
+    """
     frames, audits = [], []
-    for spec in select_sources(specs):
-        raw = scan(spark, spec, hub_root)
+    for spec in select_sources(specs, names):
+        raw = scan(spark, spec, hub_root, position=True)
         if limit is not None:
-            raw = first_rows(raw, limit, [detect_columns(raw).poem_id or detect_columns(raw).text])
+            raw = first_rows(raw, limit)
         found = detect_columns(raw)
-        canonical = canonicalize(raw)
-        frames.append(enrich(canonical, spec))
-        n = raw.agg(F.count("*").alias("rows_loaded"))
-        audits.append(n.select(F.lit(spec.name).alias("source_name"), "rows_loaded", F.col("rows_loaded").alias("rows_canonical"), F.lit(str(found)).alias("detected_columns")))
+        frames.append(enrich(canonicalize(raw), spec))
+        audits.append(audit_rows(raw, spec, found))
     return combine(frames), combine(audits)
 
 
+def audit_rows(raw: DataFrame, spec: SourceSpec, found: DetectedColumns) -> DataFrame:
+    """(source_name, source_kind, source_location, rows_loaded, rows_canonical, detected_columns) of one source; every row becomes a canonical one."""
+    n = raw.agg(F.count("*").alias("rows_loaded"))
+    about = [F.lit(v).alias(k) for k, v in (("source_name", spec.name), ("source_kind", spec.kind), ("source_location", spec.location))]
+    return n.select(*about, "rows_loaded", F.col("rows_loaded").alias("rows_canonical"), F.lit(str(found)).alias("detected_columns"))
+
+
 def inspect(df: DataFrame, rows: int = 5, order: list[str] | None = None, width: int = 300) -> DataFrame:
     """The first rows with every column as text of at most ``width`` characters."""
     ordered = df.orderBy(*order) if order else df

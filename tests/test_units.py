@@ -72,6 +72,39 @@ def test_sources(spark, tmp_path):
         readers.select_sources(specs, {"off"})
     hub = readers.SourceSpec("h", "hub", "", split="a.parquet+a.parquet")
     assert readers.scan(spark, hub, str(tmp_path)).count() == 4
+    assert set(audit.columns) == {"source_name", "source_kind", "source_location", "rows_loaded", "rows_canonical", "detected_columns"}
+    assert {r.source_name for r in readers.load_sources(spark, specs, names={"a", "c"})[1].collect()} == {"a", "c"}
+
+
+def test_hub_manifest(spark, tmp_path):
+    """A manifest of kind ``huggingface`` loads from a folder that mirrors the hub, splits joined by a plus sign."""
+    for split, rows in (("train", [("a", "x")]), ("test", [("b", "y"), ("c", None)])):
+        spark.createDataFrame(rows, "title string, content string").coalesce(1).write.parquet(f"{tmp_path}/me/poems/{split}")
+    manifest = [{"name": "h", "kind": "huggingface", "location": "me/poems", "split": "train+test", "license_family": "cc"}]
+    (tmp_path / "m.json").write_text(json.dumps(manifest))
+    every, audit = readers.load_sources(spark, readers.load_manifest(f"{tmp_path}/m.json"), hub_root=str(tmp_path))
+    assert sorted((r.poem_id, r.title, r.text) for r in every.collect()) == [("h:0", "a", "x"), ("h:1", "b", "y"), ("h:2", "c", "")]
+    assert audit.first().rows_canonical == 3 and audit.first().source_kind == "huggingface"
+
+
+def test_file_order(spark, tmp_path):
+    """A limit takes the first rows of the file, and rows without an id are numbered in file order."""
+    (tmp_path / "a.csv").write_text("id,text\n9,z\n10,y\n1,x\n")
+    (tmp_path / "b.jsonl").write_text('{"poem": "z"}\n{"poem": "a"}\n{"poem": "m"}\n')
+    a, b = (readers.SourceSpec(n[0], "local", f"{tmp_path}/{n}") for n in ("a.csv", "b.jsonl"))
+    assert [r.poem_id for r in readers.load_sources(spark, [a], limit=1)[0].collect()] == ["a:9"]
+    assert {r.poem_id: r.text for r in readers.load_sources(spark, [b])[0].collect()} == {"b:0": "z", "b:1": "a", "b:2": "m"}
+    assert {r.poem_id: r.text for r in readers.load_sources(spark, [b], limit=2)[0].collect()} == {"b:0": "z", "b:1": "a"}
+    rows = spark.createDataFrame([(i % 3, i) for i in range(100)], "g int, i int")
+    assert {(r.g, r.i) for r in readers.first_rows_by(rows, "g", 2, ["i"]).collect()} == {(g, i) for g in range(3) for i in (g, g + 3)}
+
+
+def test_each_text_is_normalised_once(spark):
+    from preflux.plans import registry
+
+    for name in ("normalize_text", "dedupe_kept", "duplicate_groups", "source_summary"):
+        plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1, (name, plan)
 
 
 def test_sinks(spark, tmp_path):
