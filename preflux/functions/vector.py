@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,3 +45,8 @@ def hash_unit(*parts: Column, place: int = 1) -> Column:
 def hash_normal(*parts: Column) -> Column:
     """A standard normal number by Box and Muller from two hash numbers."""
     return F.sqrt(-2 * F.ln(hash_unit(*parts))) * F.cos(2 * F.pi() * hash_unit(*parts, place=9))
+
+
+def batch_matrix(column: pa.Array) -> np.ndarray:
+    """An Arrow column of equally long lists as a matrix, without a copy of each row."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(len(column), -1)

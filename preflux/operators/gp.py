@@ -9,7 +9,7 @@ standard deviation; the variance is that of the latent function.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from ..functions import vector as V
 
 MAX_RATINGS = 10_000
+#: Cells of a matrix of pairs that is held at once.
+PAIR_CELLS = 1 << 20
 #: The box of the hyperparameter search.
 BOX = {"length_scale": (1e-3, 10.0), "variance": (1e-4, 10.0), "noise": (1e-5, 1.0)}
 
@@ -38,11 +40,14 @@ class GPState:
     optimization: dict = field(default_factory=dict)
 
 
+def squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * a @ b.T, 0.0)
+
+
 def kernel(a: np.ndarray, b: np.ndarray, length_scale: float, variance: float) -> np.ndarray:
     if length_scale <= 0 or variance <= 0:
         raise ValueError("length_scale and variance must be positive")
-    d2 = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * a @ b.T
-    return variance * np.exp(-np.maximum(d2, 0.0) / (2.0 * length_scale**2))
+    return variance * np.exp(-squared_distances(a, b) / (2.0 * length_scale**2))
 
 
 def lower_solve(low: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -172,15 +177,34 @@ def fit_frame(rated: DataFrame, **options) -> GPState:
     return fit(matrix(table["e"]), table["rating"].to_numpy(float), **options)
 
 
-def score(candidates: DataFrame, state: GPState, mean: bool = True, variance: bool = True) -> DataFrame:
-    """``candidates`` (row_index, e) with mean and variance; a column that is not asked for is not computed."""
+def pairs(vectors: DataFrame, queries: DataFrame, name: str, value: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """(row_index, rated_index, name) of every vector and each of the queries (row_index, e), MAX_RATINGS of them at most: one matrix product per batch."""
+    table = queries.select("row_index", "e").orderBy("row_index").limit(MAX_RATINGS + 1).toPandas()
+    if len(table) > MAX_RATINGS:
+        raise ValueError(f"more than {MAX_RATINGS} queries")
+    shared = vectors.sparkSession.sparkContext.broadcast((table["row_index"].to_numpy(np.int64), matrix(table["e"])))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, y = shared.value
+        rows = max(1, PAIR_CELLS // max(1, len(index)))
+        for whole in batches:
+            for b in (whole.slice(at, rows) for at in range(0, len(whole) if len(index) else 0, rows)):
+                cells = value(V.batch_matrix(b.column(1)), y)
+                ids = np.repeat(b.column(0).to_numpy(), len(index))
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.tile(index, len(b))), pa.array(cells.ravel())], ["row_index", "rated_index", name])
+
+    return vectors.select("row_index", "e").mapInArrow(run, f"row_index long, rated_index long, {name} double")
+
+
+def score(candidates: DataFrame, state: GPState, mean: bool = True, variance: bool = True, block_rows: int = 2048) -> DataFrame:
+    """``candidates`` (row_index, e) with mean and variance, ``block_rows`` at a time; a column that is not asked for is not computed."""
     shared = candidates.sparkSession.sparkContext.broadcast(state)
     names = ["mean"] * mean + ["variance"] * variance
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if len(b):
-                q = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(len(b), -1)
+        for whole in batches:
+            for b in (whole.slice(at, block_rows) for at in range(0, len(whole), block_rows)):
+                q = V.batch_matrix(b.column(1))
                 values = dict(zip(("mean", "variance"), posterior(shared.value, q, variance), strict=True))
                 yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(values[n]) for n in names)], ["row_index", *names])
 

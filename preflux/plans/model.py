@@ -43,20 +43,14 @@ def vector_norms(spark, sf):
 _PAIRS = W.RATED + ", d AS (SELECT v.row_index, r.row_index AS rated_index, greatest(list_dot_product(v.e, v.e) + list_dot_product(r.e, r.e) - 2 * list_dot_product(v.e, r.e), 0) AS d2 FROM vectors v, rated r)"
 
 
-def rated_pairs(spark, sf):
-    """Every vector against the rated ones: the query set of the kernel."""
-    r = W.rated_vectors(spark, sf).select(F.col("row_index").alias("rated_index"), F.col("e").alias("f"))
-    return W.vectors(spark, sf).select("row_index", "e").crossJoin(r)
-
-
 @query("WITH " + _PAIRS + " SELECT row_index, rated_index, round(d2, 6) + 0.0 AS d2 FROM d")
 def pairwise_distance(spark, sf):
-    return rounded(rated_pairs(spark, sf).select("row_index", "rated_index", V.squared_distance(F.col("e"), F.col("f")).alias("d2")), "d2")
+    return rounded(gp.pairs(W.vectors(spark, sf), W.rated_vectors(spark, sf), "d2", gp.squared_distances), "d2")
 
 
 @query("WITH " + _PAIRS + " SELECT row_index, rated_index, round(exp(-d2 / 2), 6) AS k FROM d")
 def rbf_kernel(spark, sf):
-    return rounded(rated_pairs(spark, sf).select("row_index", "rated_index", V.rbf(F.col("e"), F.col("f"), 1.0, 1.0).alias("k")), "k")
+    return rounded(gp.pairs(W.vectors(spark, sf), W.rated_vectors(spark, sf), "k", lambda x, y: gp.kernel(x, y, 1.0, 1.0)), "k")
 
 
 @query("WITH " + W.VECTORS + " SELECT v.row_index, round(list_dot_product(v.e, q.e), 6) AS similarity FROM vectors v, (SELECT * FROM vectors ORDER BY row_index LIMIT 1) q WHERE v.row_index <> q.row_index ORDER BY list_dot_product(v.e, q.e) DESC, v.row_index LIMIT 5")
@@ -91,9 +85,8 @@ def rated_rows(spark, sf):
 def gp_kernel_matrix(spark, sf):
     """The rated items' kernel with the noise's square on its diagonal: as many rows as ratings squared."""
     r = W.rated_vectors(spark, sf).select("row_index", "e")
-    pairs = r.select(F.col("row_index").alias("a"), F.col("e").alias("x")).crossJoin(r.select(F.col("row_index").alias("b"), F.col("e").alias("y")))
-    k = V.rbf(F.col("x"), F.col("y"), 1.0, 1.0) + F.when(F.col("a") == F.col("b"), 1e-6).otherwise(0.0)
-    return rounded(pairs.select("a", "b", k.alias("k")), "k")
+    k = gp.pairs(r, r, "k", lambda x, y: gp.kernel(x, y, 1.0, 1.0)).withColumnsRenamed({"row_index": "a", "rated_index": "b"})
+    return rounded(k.withColumn("k", F.col("k") + F.when(F.col("a") == F.col("b"), 1e-6).otherwise(0.0)), "k")
 
 
 @query("WITH RECURSIVE " + W.POSTERIOR + " SELECT row_index, round(a[i], 5) + 0.0 AS alpha FROM rated, alpha")
@@ -278,10 +271,10 @@ def train_test_split(spark, sf):
     return split(W.vectors(spark, sf)).select("row_index", "is_train")
 
 
-@query()
+@query("SELECT vec_id AS row_index FROM embeddings ORDER BY md5('0:' || vec_id), vec_id LIMIT 1")
 def random_start(spark, sf):
-    v = W.vectors(spark, sf)
-    return v.orderBy(F.xxhash64(F.lit(0), "row_index"), "row_index").limit(1).select("row_index")
+    """A seeded start: the item whose hash comes first."""
+    return W.vectors(spark, sf).orderBy(F.md5(F.concat_ws(":", F.lit("0"), F.col("row_index").cast("string"))), "row_index").limit(1).select("row_index")
 
 
 @query("SELECT user_id, event_id % 50 AS item, event_id AS seq, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_id % 50 ORDER BY event_id) AS n FROM events) WHERE n = 1")

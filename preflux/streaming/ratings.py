@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import learner
@@ -18,8 +19,9 @@ def follow_ratings(stream: DataFrame, session: learner.Session, checkpoint: str,
     """
 
     def take(batch: DataFrame, _: int) -> None:
-        rows = batch.select(key, rating, order).orderBy(order).limit(100_000).collect()
-        added = [session.rate(r[key], float(r[rating])) for r in rows if r[key] is not None and r[rating] is not None]
+        first = batch.where(F.col(key).isNotNull() & F.col(rating).isNotNull()).groupBy(key).agg(F.min(F.struct(order, rating)).alias("first"))
+        rows = first.select(key, f"first.{rating}", f"first.{order}").orderBy(order).toLocalIterator()
+        added = [session.rate(r[key], float(r[rating])) for r in rows]
         if any(added) and refit:
             refit(session)
 

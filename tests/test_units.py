@@ -2,6 +2,7 @@
 
 import json
 import unicodedata
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -308,3 +309,36 @@ def test_lower_solves():
     b = np.arange(150.0)
     assert np.allclose(low @ gp.lower_solve(low, b), b) and np.allclose(low.T @ gp.upper_solve(low, b), b)
     assert np.allclose(low @ gp.lower_inverse(low), np.eye(150))
+
+
+def test_normal_cdf():
+    """Against the error function, far tails included."""
+    import math
+
+    z = np.r_[np.linspace(-37, 12, 2000), -5.0, 0.0, 5.0]
+    want = np.array([0.5 * math.erfc(-v / math.sqrt(2)) for v in z])
+    assert np.allclose(acquire._normal_cdf(z), want, rtol=1e-10, atol=0)
+
+
+def test_moments_against_numpy(spark):
+    r = np.random.default_rng(2)
+    x, y = r.normal(3, 1, (70, 5)), r.normal(size=70)
+    rows = spark.createDataFrame([(i, a.tolist(), float(b)) for i, (a, b) in enumerate(zip(x, y, strict=True))], "row_index long, e array<double>, y double").repartition(3)
+    got = {(c.i, c.j): c.value for c in blr.moments(rows, "e", "y", True).collect()}
+    one = np.hstack([np.ones((70, 1)), x])
+    assert np.allclose([[got[i, j] for j in range(6)] for i in range(6)], one.T @ one) and np.allclose([got[i, -1] for i in range(6)], one.T @ y)
+    cov = {(c.i, c.j): c.value for c in visual.covariance(rows).collect()}
+    assert np.allclose([[cov[i, j] for j in range(5)] for i in range(5)], np.cov(x.T))
+    assert blr.moments(rows.limit(0), "e").count() == 0 and visual.covariance(rows.limit(0)).count() == 0
+
+
+def test_step_options(spark):
+    """Flags, block size and backend act on a step."""
+    items = synthetic.catalogue(spark, 60, 8)
+    base = PreferenceConfig(block_size=7)
+    s = lambda c: learner.Session(rated_indices=[1, 2, 3], ratings=[1.0, -1.0, 0.0], config=c)
+    batch, expression = (learner.ActiveLearner(items, s(replace(base, score_backend=b))).step() for b in ("batch", "expression"))
+    assert (batch.exploit, batch.explore) == (expression.exploit, expression.explore)
+    assert "variance" not in learner.ActiveLearner(items, s(replace(base, compute_variance=False, exploration_strategy="none"))).step().scored.columns
+    with pytest.raises(ValueError, match="variance"):
+        learner.ActiveLearner(items, s(replace(base, compute_variance=False))).step()
