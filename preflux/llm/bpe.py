@@ -27,7 +27,7 @@ from .common import read
 
 VOCABULARY = "word_bpe_49k.json"
 #: Characters of text that are encoded together, and pre-tokens that a worker remembers; neither changes a result.
-BATCH_CHARS, REMEMBERED = 4_000_000, 200_000
+BATCH_CHARS, REMEMBERED = 2_000_000, 100_000
 #: Fixed values of the vocabulary's format: Unicode white space, and the split pattern over it.
 WHITE = "\t-\r \x85\xa0  -     　"
 PRETOKEN = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WHITE}\p{{L}}\p{{N}}]+"
