@@ -230,17 +230,23 @@ _CUES = frozenset("call tel phone fax mobile ring dial card visa amex mail email
 
 
 def _run_digits(tokens: list[str]) -> list[str]:
-    """For each word how many digits the words without letters around it have together; none for a word with letters."""
-    out: list[str] = []
-    run = 0
-    for t in [*tokens, "a"]:
+    """For each word without letters how many digits its run has; a plus sign opens a run, dotted words and long numbers are runs of their own."""
+    runs: list[list[int]] = []
+    own: list[int | None] = []
+    closed = True
+    for t in tokens:
         if any(c.isalpha() for c in t):
-            digits = sum(c.isdigit() for x in tokens[len(out) : len(out) + run] for c in x)
-            out += [f"run={next((n for n in (0, 3, 6, 9, 13, 19) if digits <= n), 20)}"] * run + ["run="]
-            run = 0
-        else:
-            run += 1
-    return out[: len(tokens)]
+            own.append(None)
+            closed = True
+            continue
+        digits = sum(c.isdigit() for c in t)
+        alone = digits > 12 or t.rstrip(".").count(".") > 1
+        if closed or alone or t[:1] == "+":
+            runs.append([0])
+        runs[-1][0] += digits
+        own.append(len(runs) - 1)
+        closed = alone
+    return ["run=" if r is None else f"run={next((n for n in (0, 3, 6, 9, 13, 19) if runs[r][0] <= n), 20)}" for r in own]
 
 
 def chain_features(tokens: list[str]) -> list[list[str]]:
