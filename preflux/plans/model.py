@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import vector as V
-from ..operators import acquire, benchstats, blr, gp, learner, synthetic
+from ..operators import acquire, benchstats, blr, gp, interfaces, learner, search, synthetic, visual
 from . import views as W
 
 QUERIES: dict = {}
@@ -57,9 +57,7 @@ def rbf_kernel(spark, sf):
 def topk_similar(spark, sf):
     """The five items nearest to the first one."""
     v = W.vectors(spark, sf)
-    q = v.orderBy("row_index").limit(1).select(F.col("row_index").alias("q"), F.col("e").alias("f"))
-    s = v.join(F.broadcast(q), F.col("row_index") != F.col("q")).select("row_index", V.dot(F.col("e"), F.col("f")).alias("similarity"))
-    return rounded(s.orderBy(F.desc("similarity"), "row_index").limit(5), "similarity")
+    return rounded(search.nearest_to_row(v, v.agg(F.min("row_index")).first()[0], 5), "similarity")
 
 
 @query("WITH " + W.VECTORS + ", q AS (SELECT list(v ORDER BY i) AS f FROM (SELECT i, avg(e[i]) AS v FROM (SELECT e, unnest(range(1, len(e) + 1)) AS i FROM vectors) GROUP BY i)) SELECT row_index, round(list_dot_product(e, f), 6) AS similarity FROM vectors, q WHERE label = 3 ORDER BY list_dot_product(e, f) DESC, row_index LIMIT 5")
@@ -71,6 +69,19 @@ def topk_phrase(spark, sf):
     return rounded(s.orderBy(F.desc("similarity"), "row_index").limit(5), "similarity")
 
 
+@query("WITH " + W.VECTORS + ", " + W.POEMS + ", q AS (SELECT row_index AS q, e AS f FROM vectors WHERE row_index = (SELECT min(row_index) FROM poems WHERE contains(lower(title), 'the'))) SELECT row_index, round(list_dot_product(e, f), 6) AS similarity FROM vectors, q WHERE row_index <> q ORDER BY list_dot_product(e, f) DESC, row_index LIMIT 5")
+def query_by_title(spark, sf):
+    """The five items nearest to the first whose title holds a word; documents and embeddings share their numbers."""
+    return rounded(search.nearest_to_row(W.vectors(spark, sf), search.find_row(W.poems(spark, sf), title="THE"), 5), "similarity")
+
+
+@query()
+def query_by_phrase(spark, sf):
+    """The five documents of one source nearest to a phrase, both encoded by hashes."""
+    poems, encoder = W.poems(spark, sf), interfaces.HashingEncoder()
+    return rounded(search.nearest_to_phrase(poems, encoder.encode(poems, "text"), "the quiet river", encoder, 5, "SRC1"), "similarity")
+
+
 @query("WITH " + W.VECTORS + ", a AS (SELECT row_index, e, unnest(range(1, len(e) + 1)) AS i FROM vectors), b AS (SELECT i, e[i] AS x, e, unnest(range(1, len(e) + 1)) AS j FROM a) SELECT i - 1 AS i, j - 1 AS j, round(sum(x * e[j]), 6) + 0.0 AS value FROM b GROUP BY ALL")
 def gram_matrix(spark, sf):
     return rounded(blr.moments(W.vectors(spark, sf), "e"), "value").select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "value")
@@ -327,11 +338,11 @@ def score_frame(spark, sf):
 
 @query(_FRAME + " SELECT row_index, is_rated, is_current, is_exploit, is_explore FROM frame WHERE is_rated OR is_current OR is_exploit OR is_explore")
 def special_points(spark, sf):
-    return frame(spark, sf).where("is_rated OR is_current OR is_exploit OR is_explore").select("row_index", "is_rated", "is_current", "is_exploit", "is_explore")
+    return visual.must_keep(frame(spark, sf)).select("row_index", "is_rated", "is_current", "is_exploit", "is_explore")
 
 
-@query()
+@query("SELECT count(*) AS n, CAST(0 AS DOUBLE) AS max_abs_mean, CAST(0 AS DOUBLE) AS max_abs_variance, true AS same_mean_pick, true AS same_variance_pick FROM embeddings")
 def score_agreement(spark, sf):
-    """The Arrow path against the expression path."""
+    """The Arrow path against the expression path: the same to six places, and the same picks."""
     s, scored = posterior(spark, sf)
-    return benchstats.agreement(scored, gp.score_by_expression(W.vectors(spark, sf), s))
+    return rounded(benchstats.agreement(scored, gp.score_by_expression(W.vectors(spark, sf), s)), "max_abs_mean", "max_abs_variance")

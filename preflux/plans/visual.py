@@ -85,7 +85,12 @@ def poet_overlay(spark, sf):
     return rounded(visual.poet_overlay(poets, 20).select("poet", "n_poems", "is_canonical", "size"), "size")
 
 
-@query()
+_LABELS = _POINTS + ", " + W.RATINGS + """, p AS (SELECT row_index, x, y, row_number() OVER (ORDER BY row_index) AS i FROM (SELECT row_index, x, y FROM points JOIN ratings USING (row_index) ORDER BY row_index LIMIT 60)),
+d AS (SELECT 0.04 * sqrt(pow(max(x) - min(x), 2) + pow(max(y) - min(y), 2)) AS gap FROM p),
+g AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(r BIGINT, x DOUBLE, y DOUBLE)[]) AS c UNION ALL SELECT p.i, CASE WHEN len(c) < 12 AND len([q FOR q IN c IF sqrt(pow(q.x - p.x, 2) + pow(q.y - p.y, 2)) < gap]) = 0 THEN list_append(c, CAST({'r': row_index, 'x': p.x, 'y': p.y} AS STRUCT(r BIGINT, x DOUBLE, y DOUBLE))) ELSE c END FROM g JOIN p ON p.i = g.i + 1, d)"""
+
+
+@query("WITH RECURSIVE " + _LABELS + " SELECT CAST(n - 1 AS INTEGER) AS n, c[n].r AS row_index FROM (SELECT c, unnest(range(1, len(c) + 1)) AS n FROM (SELECT c FROM g ORDER BY i DESC LIMIT 1))")
 def label_pick(spark, sf):
     """Labels for up to twelve of the sixty rated points that come first."""
     rows = points(spark, sf).join(W.ratings(spark, sf), "row_index").orderBy("row_index").limit(60).collect()

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from preflux.config import DEFAULT, PreferenceConfig
 from preflux.functions import text as T
-from preflux.operators import acquire, benchstats, blr, corpus, gp, impute, interfaces, learner, synthetic, visual
-from preflux.sources import readers, writers
+from preflux.operators import acquire, benchstats, blr, corpus, gp, impute, interfaces, learner, search, synthetic, visual
+from preflux.sources import files, readers, writers
 
 TRICKY = "ﬁrst line “x” ‘y’ – — −\r\nsecond\tline\rthird on\n\n\n\n\n\nlast ß  "
 
@@ -304,6 +304,52 @@ def test_synthetic_and_interfaces(spark, tmp_path):
     assert interfaces.HashingEncoder(8).encode(texts, "t").count() == 2
 
 
+def test_files_follow_the_path(spark, tmp_path):
+    root = f"file://{tmp_path}/a"
+    assert files.names(root) == [] and not files.exists(root)
+    files.write_text(f"{root}/é.txt", "long text é\n")
+    files.write_text(f"{root}/é.txt", "é\n")
+    assert files.read_text(f"{root}/é.txt") == "é\n" and "é.txt" in files.names(root)
+    learner.Session(3, [1, 3], [1.0, -1.0]).save(f"{root}/ratings_bo.json")
+    assert learner.users(root) == ["bo"] and learner.Session.load(f"{root}/ratings_bo.json").rated_indices == [1, 3]
+
+
+def test_promotion_keeps_the_original(spark, tmp_path):
+    root = f"file://{tmp_path}"
+    spark.range(5).write.parquet(f"{root}/vectors")
+    assert writers.promote(spark, spark.range(3), root, "v1") == []
+    with pytest.warns(UserWarning, match="centroids"):
+        assert writers.promote(spark, spark.range(4), root, "v2", {"vectors": f"{root}/vectors", "centroids": f"{root}/none"}) == ["centroids"]
+    assert writers.read_promoted(spark, root).count() == 4 and writers.read_promoted(spark, root, original=True).count() == 3
+    assert writers.read_promoted(spark, root, "vectors").count() == 5
+
+
+def test_search(spark):
+    poems = spark.createDataFrame([(0, "a:1", "Ode", "Keats"), (1, "a:2", "To the Ode", "Clare"), (2, "a:3", None, None)], "row_index long, poem_id string, title string, poet string")
+    vectors = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.6, 0.8]), (2, [0.0, 1.0])], "row_index long, e array<double>")
+    assert search.find_row(poems, poem_id="a:3") == 2 and search.find_row(poems, title="ODE") == 0 and search.find_row(poems, title="the o") == 1
+    for wrong in ({}, {"poem_id": "x"}, {"title": "sonnet"}):
+        with pytest.raises(ValueError):
+            search.find_row(poems, **wrong)
+    assert [r.row_index for r in search.nearest_to_row(vectors, 0, 5).collect()] == [1, 2]
+    assert [r.row_index for r in search.nearest_to_row(vectors, 0, 1, exclude_self=False).collect()] == [0]
+    with pytest.raises(ValueError):
+        search.nearest_to_row(vectors, 9, 1)
+    encoder = interfaces.HashingEncoder(2)
+    got = search.nearest_to_phrase(poems, vectors, "a phrase", encoder, 5, "CLAR").collect()
+    assert [r.row_index for r in got] == [1]
+    with pytest.raises(ValueError):
+        search.nearest_to_phrase(poems, vectors, "a phrase", encoder, 5, "nobody")
+
+
+def test_must_keep(spark):
+    flags = ["is_rated", "is_current", "is_exploit", "is_explore"]
+    rows = [(i, float(i), *[i == k for k in range(4)]) for i in range(9)]
+    f = spark.createDataFrame(rows, "row_index long, x double, " + ", ".join(f"{c} boolean" for c in flags))
+    assert {r.row_index for r in visual.must_keep(f).collect()} == {0, 1, 2, 3}
+    assert {0, 1, 2, 3} < {r.row_index for r in visual.downsample(f, visual.must_keep(f), 6).collect()}
+
+
 def test_lower_solves():
     low = np.linalg.cholesky(gp.kernel(*[data(150, 20)[0]] * 2, 1.0, 1.0) + 0.1 * np.eye(150))
     b = np.arange(150.0)
