@@ -37,6 +37,8 @@ BUCKET_PHRASES, BUCKET_BYTES = 1 << 18, 2 << 20
 #: Phrase classes of one gram, over all chunks, from which its strings are compared by their own hashes instead:
 #: where very many texts share a line, the phrases at its ends have one gram and would all meet in one bucket.
 HOT_CLASSES = 512
+#: Quantiles of doc_id that are asked for; each range between two is cut evenly by id, so the list stays this short.
+RANGES = 4096
 #: Bytes between triggers, on average.
 STEP = (SPAN + 1) // 2
 
@@ -340,6 +342,17 @@ def _remove(buckets: int, word_buckets: int, bits: int, id_type: pa.DataType):
     return run
 
 
+def id_chunks(ids: pd.Series, edges: np.ndarray, parts: int) -> np.ndarray:
+    """Chunks that never fall as ids rise: the range between two edges, then one of its even parts; null ids have the last chunk."""
+    x = ids.fillna(0).astype(np.int64).to_numpy()
+    place = np.searchsorted(edges[1:-1], x, "right")
+    low, high = edges[place], edges[place + 1]
+    # Differences are taken unsigned, so ids of either sign fit; ids beyond the outer edges stay in the outer parts.
+    step, width = ((y.astype(np.uint64) - low.astype(np.uint64)).astype(np.float64) for y in (np.maximum(x, low), high))
+    part = np.minimum(step / np.maximum(width, 1.0) * parts, parts - 1).astype(np.int64)
+    return np.where(ids.isna(), (len(edges) - 1) * parts, place * parts + part)
+
+
 def remove_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_bytes, n_removed, spans, kept) per row: bytes without strings of 100 that start earlier too.
 
@@ -354,14 +367,16 @@ def remove_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: s
     chunks, phrases = chunk_count(size), max(1, size // STEP)
     buckets, word_buckets = max(1, phrases // BUCKET_PHRASES), max(1, size // 2 // BUCKET_BYTES)
     bits = min(64, phrases.bit_length() + 14)
-    bounds = np.zeros(0, np.int64)
+    ranges = min(chunks, RANGES)
+    parts = -(-chunks // ranges)
+    edges = np.zeros(2, np.int64)
     if chunks > 1:
-        at = [k / chunks for k in range(1, chunks)]
-        bounds = np.array(docs.agg(F.percentile_approx(id_col, at, max(10_000, 20 * chunks))).first()[0] or [], np.int64)
+        at = [k / ranges for k in range(ranges + 1)]
+        edges = np.array(docs.agg(F.percentile_approx(id_col, at, max(10_000, 20 * ranges))).first()[0] or [0, 0], np.int64)
 
     @F.pandas_udf("long")
     def chunk_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.where(ids.isna(), len(bounds), np.searchsorted(bounds, ids.fillna(0).astype(np.int64), "right")))
+        return pd.Series(id_chunks(ids, edges, parts))
 
     id_type = docs.schema[id_col].dataType
     rows = docs.select(chunk_of(F.col(id_col)).alias("chunk"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
