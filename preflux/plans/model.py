@@ -261,11 +261,23 @@ def blr_baseline(spark, sf):
     return rounded(out, "rmse", "mean_variance")
 
 
-@query()
+def _normal_sql(h: str) -> str:
+    """The normal number of an md5 in hex, by Box and Muller."""
+    u = [f"(CAST('0x' || substr({h}, {at}, 8) AS BIGINT) + 1) / 4294967297e0" for at in (1, 9)]
+    return f"sqrt(-2 * ln({u[0]})) * cos(2 * pi() * {u[1]})"
+
+
+@query(
+    f"WITH v AS (SELECT row_index, i, {_normal_sql('h')} AS x FROM (SELECT a.r AS row_index, b.i, md5('0:' || a.r || ':' || b.i) AS h FROM range(500) a(r), range(1, 17) b(i))),"
+    " items AS (SELECT row_index, sqrt(sum(x * x)) AS length, max(x) FILTER (i = 1) AS x FROM v GROUP BY row_index),"
+    f" rated AS (SELECT r AS row_index, {_normal_sql('h')} AS rating FROM (SELECT r, md5('0r:' || r) AS h FROM range(500) a(r) ORDER BY substr(md5('0:' || r), 1, 8), r LIMIT 40))"
+    " SELECT row_index, round(rating, 6) + 0.0 AS rating, round(x / length, 6) + 0.0 AS first, CAST(1 AS DOUBLE) AS norm FROM items LEFT JOIN rated USING (row_index)"
+)
 def synthetic_catalogue(spark, sf):
     """A seeded catalogue of 500 unit vectors with 40 ratings, as the benchmarks use."""
     items = synthetic.catalogue(spark, 500, 16)
-    return items.join(synthetic.ratings(items, 40), "row_index", "left").select("row_index", "rating", F.sqrt(V.squared_norm(F.col("e"))).alias("norm"))
+    rated = items.join(synthetic.ratings(items, 40), "row_index", "left")
+    return rounded(rated.select("row_index", "rating", F.get("e", F.lit(0)).alias("first"), F.sqrt(V.squared_norm(F.col("e"))).alias("norm")), "rating", "first", "norm")
 
 
 def split(rows, share=0.8, seed=0):
