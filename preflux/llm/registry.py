@@ -8,6 +8,7 @@ from .bpe import op4_pair_index_bpe
 from .decontaminate import OP7_SQL, op7_benchmark_containment
 from .language_model import op2_backoff_automaton
 from .pii import op3_shape_field
+from .prefix_trie import OP11_SQL, op11_prefix_owners
 from .quality import op8_decision_list
 from .sharding import op6_bounded_ring
 from .simhash import op1_vantage_simhash
@@ -27,7 +28,8 @@ QUERIES = {
     "op8_decision_list": op8_decision_list,
     "op9_parsed_suffixes": op9_parsed_suffixes,
     "op10_redirect_rules": op10_redirect_rules,
+    "op11_prefix_owners": op11_prefix_owners,
 }
-ORACLES = {"op7_benchmark_containment": OP7_SQL}
+ORACLES = {"op7_benchmark_containment": OP7_SQL, "op11_prefix_owners": OP11_SQL}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
