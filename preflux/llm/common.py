@@ -87,3 +87,15 @@ def whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
 
 def _columns(parts: list[pa.RecordBatch]) -> list[np.ndarray]:
     return [c.to_numpy() for c in pa.Table.from_batches(parts).columns]
+
+
+def lookup(rows: DataFrame, table: DataFrame, on: list[str], crowded: Column) -> DataFrame:
+    """``rows`` left joined with ``table``, which has one row per key, however many rows share a key.
+
+    The rows of ``table`` that ``crowded`` marks are broadcast, the others meet
+    their rows in a shuffle. The caller's condition bounds their number: no more
+    than a thousand keys can each have over a thousandth of the rows.
+    """
+    few = F.broadcast(table.where(crowded))
+    rest = rows.join(few.select(*on), on, "left_anti").join(table.where(~crowded), on, "left")
+    return rows.join(few, on).unionByName(rest)

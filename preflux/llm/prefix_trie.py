@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import discard, materialize, read, words
+from .common import discard, lookup, materialize, read, words
 
 #: Conversation ids that one list of ends may span.
 SEGMENT_BITS = 12
@@ -131,12 +131,8 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 def _with_parents(nodes: DataFrame) -> DataFrame:
     """The owner of each node's parent. Parents with more than a thousandth of all nodes as children, a thousand at most, are broadcast; the others' children meet them in a join."""
-    crowded = F.col("n_children") > max(64, nodes.count() // 1000)
-    parents = nodes.select((F.col("depth") + 1).alias("depth"), F.col("ka").alias("pa"), F.col("kb").alias("pb"), F.col("conv_id").alias("parent_conv_id"), "n_children")
-    on = ["depth", "pa", "pb"]
-    few = F.broadcast(parents.where(crowded).drop("n_children"))
-    rest = nodes.join(few.drop("parent_conv_id"), on, "left_anti").join(parents.where(~crowded).drop("n_children"), on, "left")
-    return nodes.join(few, on).unionByName(rest, allowMissingColumns=True)
+    parents = nodes.select((F.col("depth") + 1).alias("depth"), F.col("ka").alias("pa"), F.col("kb").alias("pb"), F.col("conv_id").alias("parent_conv_id"), F.col("n_children").alias("siblings"))
+    return lookup(nodes, parents, ["depth", "pa", "pb"], F.col("siblings") > max(64, nodes.count() // 1000))
 
 
 def prefix_trie(paths: DataFrame, lengths: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from .bpe import op4_pair_index_bpe
 from .decontaminate import OP7_SQL, op7_benchmark_containment
 from .hard_negatives import OP13_SQL, op13_radix_negatives
 from .language_model import op2_backoff_automaton
+from .multi_index import OP12_SQL, op12_multi_index
 from .pii import op3_shape_field
 from .prefix_trie import OP11_SQL, op11_prefix_owners
 from .quality import op8_decision_list
@@ -30,8 +31,9 @@ QUERIES = {
     "op9_parsed_suffixes": op9_parsed_suffixes,
     "op10_redirect_rules": op10_redirect_rules,
     "op11_prefix_owners": op11_prefix_owners,
+    "op12_multi_index": op12_multi_index,
     "op13_radix_negatives": op13_radix_negatives,
 }
-ORACLES = {"op7_benchmark_containment": OP7_SQL, "op11_prefix_owners": OP11_SQL, "op13_radix_negatives": OP13_SQL}
+ORACLES = {"op7_benchmark_containment": OP7_SQL, "op11_prefix_owners": OP11_SQL, "op12_multi_index": OP12_SQL, "op13_radix_negatives": OP13_SQL}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
