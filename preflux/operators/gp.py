@@ -1,26 +1,35 @@
-"""Exact Gaussian-process preference model: fit on the driver, scoring where the candidates are.
+"""Exact Gaussian-process preference model: fit where the ratings fit, scoring where the candidates are.
 
-The ratings that a person gives are few, so the fit is numpy on the driver
-(bounded by MAX_RATINGS); its state is broadcast. Candidates never move: one
-narrow stage multiplies each Arrow batch with the state. ``noise`` is a
-standard deviation; the variance is that of the latent function.
+The ratings that one person gives are few, so up to DRIVER_RATINGS the fit is
+numpy on the driver and its state is broadcast: candidates never move, one
+narrow stage multiplies each Arrow batch with it. Beyond that the kernel matrix
+is a table of tiles (``tiles``). ``noise`` is a standard deviation; the variance
+is that of the latent function.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import reduce
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vector as V
 
-MAX_RATINGS = 10_000
+if TYPE_CHECKING:
+    from . import tiles
+
+#: Ratings that the driver fits: their factor, broadcast with the state, takes 128 MiB at most.
+DRIVER_RATINGS = 4_096
+#: Bytes of query vectors that one pass over all vectors takes along.
+WAVE_BYTES = 64 << 20
 #: Cells of a matrix of pairs that is held at once.
 PAIR_CELLS = 1 << 20
 #: The box of the hyperparameter search.
@@ -38,6 +47,15 @@ class GPState:
     noise: float
     lml: float
     optimization: dict = field(default_factory=dict)
+    ids: np.ndarray | None = None
+
+    @property
+    def m(self) -> int:
+        return len(self.y)
+
+    @property
+    def best(self) -> float:
+        return float(self.y.max())
 
 
 def squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -139,14 +157,60 @@ def optimize(x: np.ndarray, y: np.ndarray, start: tuple[float, float, float], st
     return tuple(np.exp(z).tolist()), {"start_lml": -first, "lml": -f, "iterations": done, "improved": f < first}
 
 
+def optimize_simplex(value: Callable[[tuple[float, float, float]], float], start: tuple[float, float, float], steps: int = 200, tolerance: float = 1e-6) -> tuple[tuple[float, float, float], dict]:
+    """Unbounded Nelder and Mead ascent of a log likelihood over the logarithms of (length scale, variance, noise); needs no derivative, so any fit will do.
+
+    A point where the matrix isn't positive definite counts as lowest. The start stays if nothing is better.
+    """
+
+    def cost(z: np.ndarray) -> float:
+        try:
+            found = -value(tuple(np.exp(z).tolist()))
+        except (np.linalg.LinAlgError, OverflowError, ValueError):
+            return math.inf
+        return found if math.isfinite(found) else math.inf
+
+    origin = np.log(np.array(start, float))
+    points = np.stack([origin, *(origin + 0.5 * unit for unit in np.eye(len(origin)))])
+    costs = np.array([cost(z) for z in points])
+    first, done = costs[0], 0
+    for done in range(1, steps + 1):
+        rank = np.argsort(costs, kind="stable")
+        points, costs = points[rank], costs[rank]
+        if np.abs(points[1:] - points[0]).max() < tolerance or costs[-1] - costs[0] < tolerance**2 * max(1.0, abs(costs[0])):
+            break
+        centre = points[:-1].mean(0)
+
+        def along(t: float) -> tuple[np.ndarray, float]:
+            z = centre + t * (centre - points[-1])
+            return z, cost(z)
+
+        z, f = along(1.0)
+        if f < costs[0]:
+            further, better = along(2.0)
+            if better < f:
+                z, f = further, better
+        elif f >= costs[-2]:
+            z, f = along(0.5 if f < costs[-1] else -0.5)
+            if f >= costs[-1]:
+                points[1:] = points[0] + 0.5 * (points[1:] - points[0])
+                costs[1:] = [cost(p) for p in points[1:]]
+                continue
+        points[-1], costs[-1] = z, f
+    best = int(np.argmin(costs))
+    return tuple(np.exp(points[best]).tolist()), {"start_lml": -float(first), "lml": -float(costs[best]), "iterations": done, "improved": bool(costs[best] < first)}
+
+
+def likelihood(x: np.ndarray, y: np.ndarray, params: tuple[float, float, float]) -> float:
+    return _factor(x, y, params)[2]
+
+
 def fit(x: np.ndarray, y: np.ndarray, length_scale: float = 1.0, variance: float = 1.0, noise: float = 1e-3, with_variance: bool = True, optimize_hyperparameters: bool = False, max_iterations: int = 50) -> GPState:
     x, y = np.asarray(x, float), np.asarray(y, float)
     if x.ndim != 2 or y.ndim != 1 or len(x) != len(y) or not len(x):
         raise ValueError("x must be a matrix with as many rows as y has values, one at least")
     if noise <= 0:
         raise ValueError("noise must be positive")
-    if len(x) > MAX_RATINGS:
-        raise ValueError(f"{len(x)} ratings; the driver fits {MAX_RATINGS} at most")
     params, info = (length_scale, variance, noise), {}
     if optimize_hyperparameters:
         if len(x) < 2:
@@ -171,17 +235,43 @@ def matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(float) if len(column) else np.zeros((0, 0))
 
 
-def fit_frame(rated: DataFrame, **options) -> GPState:
-    """Fit from (row_index, e, rating); the rated rows are collected, which MAX_RATINGS bounds."""
-    table = rated.select("row_index", "e", "rating").orderBy("row_index").limit(MAX_RATINGS + 1).toPandas()
-    return fit(matrix(table["e"]), table["rating"].to_numpy(float), **options)
+def fit_frame(rated: DataFrame, **options) -> GPState | tiles.TiledState:
+    """Fit from (row_index, e, rating), on the driver up to DRIVER_RATINGS rows and as a table of tiles above."""
+    table = rated.select("row_index", "e", "rating").orderBy("row_index").limit(DRIVER_RATINGS + 1).toPandas()
+    if len(table) > DRIVER_RATINGS:
+        return _fit_tiled(rated, **options)
+    return replace(fit(matrix(table["e"]), table["rating"].to_numpy(float), **options), ids=table["row_index"].to_numpy(np.int64))
+
+
+def _fit_tiled(rated: DataFrame, length_scale: float = 1.0, variance: float = 1.0, noise: float = 1e-3, with_variance: bool = True, optimize_hyperparameters: bool = False, max_iterations: int = 50) -> tiles.TiledState:
+    """Mean and variance both come from the inverse factor's tiles, so ``with_variance`` changes nothing; a search evaluates likelihoods alone."""
+    from . import tiles
+
+    params, info = (length_scale, variance, noise), {}
+    if optimize_hyperparameters:
+        params, info = optimize_simplex(lambda p: tiles.likelihood(rated, *p), params, max_iterations)
+    return replace(tiles.fit(rated, *params), optimization=info)
+
+
+def alpha_frame(spark: SparkSession, state: GPState | tiles.TiledState) -> DataFrame:
+    """(row_index, alpha) of a state that ``fit_frame`` made."""
+    if not isinstance(state, GPState):
+        return state.alpha
+    return spark.createDataFrame(zip(state.ids.tolist(), state.alpha.tolist(), strict=True), "row_index long, alpha double")
 
 
 def pairs(vectors: DataFrame, queries: DataFrame, name: str, value: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
-    """(row_index, rated_index, name) of every vector and each of the queries (row_index, e), MAX_RATINGS of them at most: one matrix product per batch."""
-    table = queries.select("row_index", "e").orderBy("row_index").limit(MAX_RATINGS + 1).toPandas()
-    if len(table) > MAX_RATINGS:
-        raise ValueError(f"more than {MAX_RATINGS} queries")
+    """(row_index, rated_index, name) of every vector and each of the queries (row_index, e): one matrix product per batch.
+
+    Queries go along in waves of WAVE_BYTES on average, each in one pass over the vectors; only the pairs themselves grow with both.
+    """
+    waves = max(1, -(-(queries.agg(F.sum(F.size("e"))).first()[0] or 0) * 8 // WAVE_BYTES))
+    dealt = queries.select("row_index", "e", F.pmod(F.xxhash64("row_index"), F.lit(waves)).alias("wave"))
+    parts = [_wave_pairs(vectors, dealt.where(F.col("wave") == w).orderBy("row_index").toPandas(), name, value) for w in range(waves)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _wave_pairs(vectors: DataFrame, table: pd.DataFrame, name: str, value: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
     shared = vectors.sparkSession.sparkContext.broadcast((table["row_index"].to_numpy(np.int64), matrix(table["e"])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,8 +286,12 @@ def pairs(vectors: DataFrame, queries: DataFrame, name: str, value: Callable[[np
     return vectors.select("row_index", "e").mapInArrow(run, f"row_index long, rated_index long, {name} double")
 
 
-def score(candidates: DataFrame, state: GPState, mean: bool = True, variance: bool = True, block_rows: int = 2048) -> DataFrame:
+def score(candidates: DataFrame, state: GPState | tiles.TiledState, mean: bool = True, variance: bool = True, block_rows: int = 2048) -> DataFrame:
     """``candidates`` (row_index, e) with mean and variance, ``block_rows`` at a time; a column that is not asked for is not computed."""
+    if not isinstance(state, GPState):
+        from . import tiles
+
+        return tiles.score(candidates, state, mean, variance)
     shared = candidates.sparkSession.sparkContext.broadcast(state)
     names = ["mean"] * mean + ["variance"] * variance
 
@@ -212,11 +306,12 @@ def score(candidates: DataFrame, state: GPState, mean: bool = True, variance: bo
 
 
 def score_by_expression(candidates: DataFrame, state: GPState) -> DataFrame:
-    """The same numbers by column expressions alone: the independent check, and the small-m path without Python."""
-    k = F.transform(
-        F.lit([[float(v) for v in row] for row in state.x]), lambda r: state.variance * F.exp(-V.squared_distance(F.col("e"), r) / (2.0 * state.length_scale**2))
-    )
-    half = F.transform(F.lit([[float(v) for v in row] for row in state.inverse_factor]), lambda r: V.dot(F.col("k"), r))
-    return candidates.select("row_index", "e").withColumn("k", k).select(
-        "row_index", V.dot(F.col("k"), F.lit([float(a) for a in state.alpha])).alias("mean"), F.greatest(F.lit(state.variance) - V.squared_norm(half), F.lit(0.0)).alias("variance")
+    """The same numbers by column expressions alone, the state as one broadcast row: the independent check, and the small-m path without Python."""
+    if not isinstance(state, GPState):
+        raise ValueError("a tiled state has no broadcast form")
+    held = candidates.sparkSession.createDataFrame([(state.x.tolist(), state.inverse_factor.tolist(), state.alpha.tolist())], "x array<array<double>>, factor array<array<double>>, alpha array<double>")
+    k = F.transform("x", lambda r: state.variance * F.exp(-V.squared_distance(F.col("e"), r) / (2.0 * state.length_scale**2)))
+    half = F.transform("factor", lambda r: V.dot(F.col("k"), r))
+    return candidates.select("row_index", "e").crossJoin(F.broadcast(held)).withColumn("k", k).select(
+        "row_index", V.dot(F.col("k"), F.col("alpha")).alias("mean"), F.greatest(F.lit(state.variance) - V.squared_norm(half), F.lit(0.0)).alias("variance")
     )

@@ -102,16 +102,13 @@ def gp_kernel_matrix(spark, sf):
 
 @query("WITH RECURSIVE " + W.POSTERIOR + " SELECT row_index, round(a[i], 5) + 0.0 AS alpha FROM rated, alpha")
 def gp_alpha(spark, sf):
-    s = state(spark, sf)
-    ids = [r["row_index"] for r in W.rated_vectors(spark, sf).select("row_index").orderBy("row_index").collect()]
-    out = spark.createDataFrame(list(zip(ids, [float(a) for a in s.alpha], strict=True)), "row_index long, alpha double")
-    return out.withColumn("alpha", F.round("alpha", 5) + 0.0)
+    return gp.alpha_frame(spark, state(spark, sf)).withColumn("alpha", F.round("alpha", 5) + 0.0)
 
 
 @query("WITH RECURSIVE " + W.POSTERIOR + " SELECT n AS m, round(-0.5 * list_dot_product(y, a) - 0.5 * logdet - n / 2 * ln(2 * pi()), 5) AS lml FROM alpha")
 def gp_lml(spark, sf):
     s = state(spark, sf)
-    return spark.createDataFrame([(len(s.y), s.lml)], "m long, lml double").withColumn("lml", F.round("lml", 5))
+    return spark.createDataFrame([(s.m, s.lml)], "m long, lml double").withColumn("lml", F.round("lml", 5))
 
 
 @query("WITH RECURSIVE " + W.POSTERIOR + " SELECT row_index, round(mean, 6) + 0.0 AS mean FROM posterior")
@@ -131,9 +128,8 @@ def gp_posterior_naive(spark, sf):
 
 def picked(spark, sf, strategy, k=1, **options):
     s, scored = posterior(spark, sf)
-    best = float(s.y.max())
     mass = acquire.kernel_mass(W.vectors(spark, sf), 1.0, 1.0) if strategy == "spatial_variance" else None
-    out = acquire.top(acquire.with_score(scored, strategy, best_rating=best, mass=mass, noise=s.noise, **options), k, W.ratings(spark, sf))
+    out = acquire.top(acquire.with_score(scored, strategy, best_rating=s.best, mass=mass, noise=s.noise, **options), k, W.ratings(spark, sf))
     return rounded(out.select("row_index", "score"), "score")
 
 

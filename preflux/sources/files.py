@@ -43,3 +43,9 @@ def names(folder: str) -> list[str]:
     """Names in a folder, sorted; none where there is no folder."""
     _, store, at = _open(folder)
     return sorted(s.getPath().getName() for s in store.listStatus(at)) if store.exists(at) else []
+
+
+def remove(path: str) -> None:
+    """With all that is below it; nothing happens where there is nothing."""
+    _, store, at = _open(path)
+    store.delete(at, True)
