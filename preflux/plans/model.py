@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import vector as V
 from ..operators import acquire, benchstats, blr, gp, interfaces, learner, search, synthetic, visual
+from ..sources import scratch
+from ..streaming import sessions
 from . import views as W
 
 QUERIES: dict = {}
@@ -316,6 +318,18 @@ def user_rating_counts(spark, sf):
     return W.table(spark, sf, "events").where("event_type = 'purchase'").groupBy("user_id").agg(F.count("*").alias("n_ratings"))
 
 
+@query("WITH e AS (SELECT user_id, event_id % 50 AS item, event_id, " + W.LIKED + " AS rating FROM events WHERE event_type = 'purchase'), f AS (SELECT *, row_number() OVER (PARTITION BY user_id, item ORDER BY event_id) AS n FROM e JOIN embeddings ON vec_id = item) SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS INT) AS pos, item AS row_index, rating FROM f WHERE n = 1")
+def stream_sessions(spark, sf):
+    """Every user's session as a stream of all purchases leaves it: first ratings in order, each appended to the user's factor."""
+    # As a pattern, for the source takes a lone file only so.
+    events = spark.readStream.schema(W.table(spark, sf, "events").schema).parquet(f"{sf}/events.[p]arquet").where("event_type = 'purchase'")
+    ratings = events.selectExpr("user_id AS user", "event_id % 50 AS item", W.LIKED + " AS rating", "event_id AS seq")
+    stream = sessions.follow_sessions(ratings, W.vectors(spark, sf))
+    last = sessions.run_to_end(spark, stream, scratch.fresh(spark, "stream"), scratch.fresh(spark, "sessions"))
+    rows = last.select(F.col("user").alias("user_id"), F.posexplode(F.arrays_zip("rated", "ratings")).alias("at", "z"))
+    return rows.select("user_id", (F.col("at") + 1).alias("pos"), F.col("z.rated").alias("row_index"), F.col("z.ratings").alias("rating"))
+
+
 @query("WITH RECURSIVE " + W.POSTERIOR + " SELECT * FROM (SELECT 'exploit' AS kind, row_index FROM free ORDER BY mean DESC, row_index LIMIT 1) UNION ALL SELECT * FROM (SELECT 'explore', row_index FROM free ORDER BY variance DESC, row_index LIMIT 1)")
 def al_step(spark, sf):
     """One step of the learner over all ratings."""

@@ -50,14 +50,18 @@ def vectors(spark: SparkSession, sf: str) -> DataFrame:
 VECTORS = "vectors AS (SELECT vec_id AS row_index, embedding::DOUBLE[] AS e, label FROM embeddings)"
 
 
+#: Liked, neutral or disliked by value.
+LIKED = "CAST(CASE WHEN value >= 100 THEN 1 WHEN value >= 30 THEN 0 ELSE -1 END AS DOUBLE)"
+
+
 def ratings(spark: SparkSession, sf: str) -> DataFrame:
-    """Purchases rate the vector of their number: liked, neutral or disliked by value."""
+    """Purchases rate the vector of their number."""
     return table(spark, sf, "events").where("event_type = 'purchase'").selectExpr(
-        "event_id AS row_index", "CASE WHEN value >= 100 THEN 1.0D WHEN value >= 30 THEN 0.0D ELSE -1.0D END AS rating"
+        "event_id AS row_index", LIKED + " AS rating"
     )
 
 
-RATINGS = "ratings AS (SELECT event_id AS row_index, CASE WHEN value >= 100 THEN 1.0::DOUBLE WHEN value >= 30 THEN 0.0::DOUBLE ELSE -1.0::DOUBLE END AS rating FROM events WHERE event_type = 'purchase')"
+RATINGS = "ratings AS (SELECT event_id AS row_index, " + LIKED + " AS rating FROM events WHERE event_type = 'purchase')"
 
 
 def rated_vectors(spark: SparkSession, sf: str) -> DataFrame:
