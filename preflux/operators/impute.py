@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..functions import vector as V
+from ..sources import scratch
+from . import gp
 
 #: Prices of the cost estimate: tokens per request, and dollars per million.
 TOKENS, DOLLARS = (175, 50), (0.25, 1.25)
@@ -21,30 +28,122 @@ def first_line_fill(poems: DataFrame) -> DataFrame:
     rows = poems.select("row_index", "poet", T.first_line(F.col("text")).alias("line"), T.is_missing_poet(F.col("poet")).alias("missing"))
     lines = rows.groupBy("line").agg(F.count("*").alias("n")).where("n >= 2")
     votes = rows.where("NOT missing").groupBy("line", "poet").agg(F.count("*").alias("n"))
-    best = votes.groupBy("line").agg(F.max_by("poet", F.struct("n", F.lit(0))).alias("any"), F.max("n").alias("n"))
-    winner = votes.join(best.select("line", "n"), ["line", "n"]).groupBy("line").agg(F.min("poet").alias("poet_new"))
+    winner = votes.groupBy("line").agg(F.min(F.struct((-F.col("n")).alias("n"), "poet")).alias("first")).select("line", F.col("first.poet").alias("poet_new"))
     return rows.where("missing").join(lines.select("line"), "line", "left_semi").join(winner, "line").select("row_index", "poet_new")
 
 
 def group_centroids(vectors: DataFrame, group: str, min_rows: int) -> DataFrame:
-    """(group, n_poems, centroid): the unit mean vector of each group of min_rows or more; sums are pre-aggregated per task."""
-    cells = vectors.select(group, F.posexplode("e").alias("i", "v")).groupBy(group, "i").agg(F.sum("v").alias("s"), F.count("*").alias("n"))
-    packed = cells.groupBy(group).agg(F.max("n").alias("n_poems"), F.sort_array(F.collect_list(F.struct("i", (F.col("s") / F.col("n")).alias("v")))).alias("cells"))
-    return packed.where(F.col("n_poems") >= min_rows).select(group, "n_poems", V.unit(F.transform("cells", lambda c: c["v"])).alias("centroid"))
+    """(group, n_poems, centroid): the unit mean vector of each group of min_rows or more; a batch of rows gives one sum for each of its groups."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                names = batch.column(0).dictionary_encode()
+                sums = np.zeros((len(names.dictionary), V.batch_matrix(batch.column(1)).shape[1]))
+                np.add.at(sums, names.indices.to_numpy(), V.batch_matrix(batch.column(1)))
+                n = np.bincount(names.indices.to_numpy(), minlength=len(sums))
+                yield pa.RecordBatch.from_arrays([names.dictionary, pa.array(n), pa.array(list(sums), pa.list_(pa.float64()))], ["name", "n", "sums"])
 
-def similarity_fill(vectors: DataFrame, group: str, threshold: float = 0.95, min_rows: int = 5) -> DataFrame:
-    """(row_index, poet_new, similarity) for rows whose group is missing and whose best centroid is near enough.
+    parts = vectors.select(F.col(group), "e").where(F.col(group).isNotNull()).mapInArrow(run, "name string, n long, sums array<double>")
+    cells = parts.select("name", "n", F.posexplode("sums").alias("i", "v")).groupBy("name", "i").agg(F.sum("v").alias("s"), F.sum("n").alias("n"))
+    packed = cells.groupBy("name").agg(F.max("n").alias("n_poems"), F.sort_array(F.collect_list(F.struct("i", (F.col("s") / F.col("n")).alias("v")))).alias("cells"))
+    return packed.where(F.col("n_poems") >= min_rows).select(F.col("name").alias(group), "n_poems", V.unit(F.transform("cells", lambda c: c["v"])).alias("centroid"))
+
+
+#: Centroids of a ball on average, balls at most, and rows that share a copy of a ball.
+BALL, PIVOTS, SHARE = 64, 4096, 65_536
+
+
+def nearest_centroids(rows: DataFrame, centroids: DataFrame, threshold: float) -> DataFrame:
+    """(row_index, poet_new, similarity): for rows (row_index, u) the most similar of centroids (poet_new, centroid), if it reaches ``threshold``.
 
-    Groups are joined as packed unit vectors: one row per (missing row, group),
-    and the best is kept by an aggregate. A zero vector has similarity 0.
+    Both are unit vectors, or zero. Centroids are dealt to balls around pivots that are centroids
+    themselves. A row's distance to the nearest pivot, and the distance that the threshold means, bound how
+    far its best can be; by the triangle inequality only balls that reach so near are looked at. Ties go to the smallest name.
     """
+    looked = _looked_at(rows, centroids, threshold)
+    best = looked.groupBy("row_index").agg(F.min(F.struct((-F.col("similarity")).alias("distance"), "poet_new")).alias("near"))
+    return best.select("row_index", "near.poet_new", (-F.col("near.distance")).alias("similarity")).where(F.col("similarity") >= threshold)
+
+
+def centroid_figures(rows: DataFrame, centroids: DataFrame, threshold: float) -> tuple[int, int]:
+    """Dot products that ``nearest_centroids`` takes in balls, and those of all rows with all centroids."""
+    return _looked_at(rows, centroids, threshold).agg(F.coalesce(F.sum("tried"), F.lit(0))).first()[0], rows.count() * centroids.count()
+
+
+def _looked_at(rows: DataFrame, centroids: DataFrame, threshold: float) -> DataFrame:
+    """(row_index, poet_new, similarity, tried): each row's best in each ball that it looks at."""
+    spark = rows.sparkSession
+    held = scratch.written(centroids.select("poet_new", "centroid"), "centroids")
+    k = max(1, min(PIVOTS, -(-held.count() // BALL)))
+    pivots = np.array([r.centroid for r in held.orderBy(F.xxhash64("poet_new"), "poet_new").limit(k).collect()])
+    if not len(pivots):
+        return spark.createDataFrame([], "row_index long, poet_new string, similarity double, tried long")
+    middle = spark.sparkContext.broadcast(pivots)
+
+    def distances(x: np.ndarray) -> np.ndarray:
+        return np.sqrt(gp.squared_distances(x, middle.value))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                d = distances(V.batch_matrix(batch.column(1)))
+                yield pa.RecordBatch.from_arrays([pa.array(d.argmin(1)), pa.array(d.min(1)), batch.column(0), batch.column(1)], ["leaf", "far", "poet_new", "u"])
+
+    balls = scratch.written(held.select("poet_new", "centroid").mapInArrow(deal, "leaf long, far double, poet_new string, u array<double>"), "dealt")
+    radii = np.full(len(pivots), -np.inf)
+    for r in balls.groupBy("leaf").agg(F.max("far").alias("far")).collect():
+        radii[r.leaf] = r.far
+    reach = math.sqrt(max(0.0, 2.0 - 2.0 * threshold))
+    copies = max(1, -(-rows.count() // SHARE))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Rounding, and zero vectors, which are nearer than their similarity of 0 says.
+        slack = 1e-6
+        for batch in batches:
+            if len(batch):
+                x = V.batch_matrix(batch.column(1))
+                d = distances(x)
+                within = np.minimum(d.min(1), reach if threshold > 0 else np.inf)
+                row, leaf = np.nonzero(d - radii <= within[:, None] + slack)
+                yield pa.RecordBatch.from_arrays([pa.array(leaf), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row))], ["leaf", "row_index", "u"])
+
+    asked = rows.select("row_index", "u").mapInArrow(ask, "leaf long, row_index long, u array<double>")
+    copy = F.pmod(F.xxhash64("row_index"), F.lit(copies)).cast("int")
+    both = balls.select("leaf", F.lit(None).cast("long").alias("row_index"), "u", "poet_new", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy")).unionByName(
+        asked.select("leaf", "row_index", "u", F.lit(None).cast("string").alias("poet_new"), copy.alias("copy"))
+    )
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, names, vectors = None, [], []
+        for batch in batches:
+            keys = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], 1)
+            is_row = batch.column(2).is_valid().to_numpy(zero_copy_only=False)
+            ends = np.flatnonzero(np.r_[(keys[1:] != keys[:-1]).any(1) | (is_row[1:] != is_row[:-1]), True]) + 1
+            for a, b in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True):
+                if tuple(keys[a]) != key:
+                    key, names, vectors = tuple(keys[a]), [], []
+                x = V.batch_matrix(batch.column(3).slice(a, b - a))
+                if not is_row[a]:
+                    names += batch.column(4).slice(a, b - a).to_pylist()
+                    vectors.append(x)
+                elif names:
+                    order = np.argsort(np.array(names, object), kind="stable")
+                    s = x @ np.concatenate(vectors)[order].T
+                    top = s.argmax(1)
+                    found = [pa.array([names[order[t]] for t in top]), pa.array(s[np.arange(len(s)), top]), pa.array(np.full(len(s), len(names), np.int64))]
+                    yield pa.RecordBatch.from_arrays([batch.column(2).slice(a, b - a), *found], ["row_index", "poet_new", "similarity", "tried"])
+
+    dealt = both.select("leaf", "copy", "row_index", "u", "poet_new").repartition("leaf", "copy").sortWithinPartitions("leaf", "copy", F.col("row_index").isNotNull())
+    return dealt.mapInArrow(best, "row_index long, poet_new string, similarity double, tried long")
+
+
+def similarity_fill(vectors: DataFrame, group: str, threshold: float = 0.95, min_rows: int = 5) -> DataFrame:
+    """(row_index, poet_new, similarity) for rows whose group is missing and whose best centroid is near enough. A zero vector has similarity 0."""
     known = vectors.where(~T.is_missing_poet(F.col(group)))
     centroids = group_centroids(known, group, min_rows).select(F.col(group).alias("poet_new"), "centroid")
     missing = vectors.where(T.is_missing_poet(F.col(group))).select("row_index", V.unit(F.col("e")).alias("u"))
-    near = missing.crossJoin(centroids).select("row_index", F.struct((-V.dot(F.col("u"), F.col("centroid"))).alias("distance"), "poet_new").alias("near"))
-    best = near.groupBy("row_index").agg(F.min("near").alias("near")).select("row_index", "near.poet_new", (-F.col("near.distance")).alias("similarity"))
-    return best.where(F.col("similarity") >= threshold)
+    return nearest_centroids(missing, centroids, threshold)
 
 
 def merge_fill(poems: DataFrame, fill: DataFrame, confidence: Column) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import vector as V
-from ..operators import acquire, benchstats, blr, gp, interfaces, learner, search, synthetic, visual
+from ..operators import acquire, benchstats, blr, gp, interfaces, kernel_sums, learner, search, synthetic, visual
 from ..sources import scratch
 from ..streaming import sessions
 from . import views as W
@@ -130,7 +130,7 @@ def gp_posterior_naive(spark, sf):
 
 def picked(spark, sf, strategy, k=1, **options):
     s, scored = posterior(spark, sf)
-    mass = acquire.kernel_mass(W.vectors(spark, sf), 1.0, 1.0) if strategy == "spatial_variance" else None
+    mass = kernel_sums.kernel_mass(W.vectors(spark, sf), 1.0, 1.0) if strategy == "spatial_variance" else None
     out = acquire.top(acquire.with_score(scored, strategy, best_rating=s.best, mass=mass, noise=s.noise, **options), k, W.ratings(spark, sf))
     return rounded(out.select("row_index", "score"), "score")
 

@@ -388,3 +388,34 @@ def test_step_options(spark):
     assert "variance" not in learner.ActiveLearner(items, s(replace(base, compute_variance=False, exploration_strategy="none"))).step().scored.columns
     with pytest.raises(ValueError, match="variance"):
         learner.ActiveLearner(items, s(replace(base, compute_variance=False))).step()
+
+
+def test_nearest_centroids_skip_far_balls(spark, monkeypatch):
+    """The best centroid of each row, ties to the smallest name, by a small share of all dot products."""
+    monkeypatch.setattr(impute, "BALL", 8)
+    monkeypatch.setattr(impute, "SHARE", 50)
+    r = np.random.default_rng(2)
+    middle = r.normal(size=(20, 8))
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    c = unit(middle[np.arange(200) % 20] + 0.02 * r.normal(size=(200, 8)))
+    c[7] = c[27]
+    q = np.vstack([unit(c[np.arange(120)] + 0.02 * r.normal(size=(120, 8))), unit(r.normal(size=(30, 8))), np.zeros((1, 8))])
+    centroids = spark.createDataFrame([(f"p{i:03}", x) for i, x in enumerate(c.tolist())], "poet_new string, centroid array<double>")
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(q.tolist())], "row_index long, u array<double>")
+    s = q @ c.T
+    for least in (0.9, 0.0):
+        got = {x.row_index: (x.poet_new, round(x.similarity, 9)) for x in impute.nearest_centroids(rows, centroids, least).collect()}
+        assert got == {i: (f"p{v.argmax():03}", round(v.max(), 9)) for i, v in enumerate(s) if v.max() >= least}
+    done, every = impute.centroid_figures(rows, centroids, 0.9)
+    assert every == 151 * 200 and 0 < done < every / 4
+    assert impute.nearest_centroids(rows, centroids.limit(0), 0.5).count() == 0
+
+
+def test_heatmap_joins_nothing(spark):
+    p = spark.createDataFrame([(0.0, 0.0, 1.0), (1.0, 2.0, 3.0), (None, 1.0, 1.0)], "x double, y double, value double")
+    h = visual.heatmap(p, 4, 0.2)
+    plan = h._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Cartesian" not in plan and "MapInArrow" in plan
+    z = {(r.gx, r.gy): r.z for r in h.collect()}
+    assert len(z) == 16 and abs(z[0, 0] - 1.0) < 1e-6 and abs(z[3, 3] - 3.0) < 1e-6
+    assert visual.heatmap(p.limit(0), 4, 0.2).count() == 0
