@@ -216,14 +216,15 @@ def learn_rules(x: dict[str, np.ndarray], bad: np.ndarray, grow: np.ndarray) ->
 def fit_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> list[Rule]:
     """Rules learned from at most LABELLED_ROWS labelled documents; none without labels of both kinds.
 
-    A document labelled more than once counts by its lowest label; null ids
-    and labels are ignored.
+    A document labelled more than once counts by its lowest label; of rows that share a labelled id
+    one counts, that whose text has the least hash; null ids and labels are ignored.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.min(label_col).alias("__label"))
     sample = known.orderBy(F.xxhash64("__id"), "__id").limit(LABELLED_ROWS)
     # The sample's size is fixed, so it is broadcast.
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(sample), "__id")
-    table = with_statistics(rows, "__text").select("__id", "__label", "quality_stats.*").orderBy("__id").limit(2 * LABELLED_ROWS).toPandas()
+    shared = docs.select(F.col(id_col).alias("__id"), F.coalesce(text_col, F.lit("")).alias("__text")).join(F.broadcast(sample), "__id")
+    rows = shared.groupBy("__id", "__label").agg(F.min(F.struct(F.xxhash64("__text").alias("h"), "__text")).alias("one")).select("__id", "__label", "one.__text")
+    table = with_statistics(rows, "__text").select("__id", "__label", "quality_stats.*").orderBy("__id").toPandas()
     x = {f: table[f].to_numpy(float) for f in FEATURES}
     bad = (table["__label"] == 0).to_numpy(bool)
     grow = np.arange(len(table)) % 3 != 0
