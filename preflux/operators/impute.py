@@ -159,14 +159,16 @@ def merge_fill(poems: DataFrame, fill: DataFrame, confidence: Column) -> DataFra
     ).drop(*[c for c in fill.columns if c != "row_index"])
 
 
+#: The parts of a prompt, around what is asked for, the passage, and the keys of the answer.
+ASK = ("Which published poem does this passage open? Name ", ".\n\n---\n", "\n---\n\nAnswer with one JSON object and nothing else. Its keys are ")
+CLOSE = '; confidence is "low", "medium" or "high". Use null, and low confidence, for what you do not know or what has no known author.'
+
+
 def _prompt() -> Column:
-    fields = F.when(F.col("needs_poet") & F.col("needs_title"), "the author and the title").when(F.col("needs_poet"), "the author").otherwise("the title")
-    keys = F.when(F.col("needs_poet") & F.col("needs_title"), '"poet", "title" and "confidence"').when(F.col("needs_poet"), '"poet" and "confidence"').otherwise('"title" and "confidence"')
-    return F.concat(
-        F.lit("Which published poem does this passage open? Name "), fields, F.lit(".\n\n---\n"), F.substring("text", 1, 1000),
-        F.lit("\n---\n\nAnswer with one JSON object and nothing else. Its keys are "), keys,
-        F.lit('; confidence is "low", "medium" or "high". Use null, and low confidence, for what you do not know or what has no known author.'),
-    )
+    both, poet = F.col("needs_poet") & F.col("needs_title"), F.col("needs_poet")
+    fields = F.when(both, "the author and the title").when(poet, "the author").otherwise("the title")
+    keys = F.when(both, '"poet", "title" and "confidence"').when(poet, '"poet" and "confidence"').otherwise('"title" and "confidence"')
+    return F.concat(F.lit(ASK[0]), fields, F.lit(ASK[1]), F.substring("text", 1, 1000), F.lit(ASK[2]), keys, F.lit(CLOSE))
 
 
 def llm_requests(poems: DataFrame, model: str, max_poems: int | None = None) -> DataFrame:

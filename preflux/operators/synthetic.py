@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 from ..functions import vector as V
 
 
-def catalogue(spark: SparkSession, n: int, dim: int, seed: int = 0) -> DataFrame:
-    """(row_index, e): n unit vectors of normal numbers."""
+def vectors_for(rows: DataFrame, dim: int, seed: int = 0) -> DataFrame:
+    """(row_index, e): a unit vector of normal numbers for each row_index."""
     cells = F.transform(F.sequence(F.lit(1), F.lit(dim)), lambda i: V.hash_normal(F.lit(seed), F.col("row_index"), i))
-    raw = spark.range(n).withColumnRenamed("id", "row_index").withColumn("v", cells)
-    return raw.select("row_index", V.unit(F.col("v")).alias("e"))
+    return rows.select("row_index", V.unit(cells).alias("e"))
+
+
+def catalogue(spark: SparkSession, n: int, dim: int, seed: int = 0) -> DataFrame:
+    """``vectors_for`` the rows from 0 to n - 1."""
+    return vectors_for(spark.range(n).withColumnRenamed("id", "row_index"), dim, seed)
 
 
 def ratings(items: DataFrame, m: int, seed: int = 0) -> DataFrame:

@@ -261,9 +261,23 @@ def poet_centroids(spark, sf):
     return impute.group_centroids(known, "poet", 3).select("poet", "n_poems", F.posexplode("centroid").alias("i", "v")).select("poet", "n_poems", F.col("i").cast("long").alias("i"), (F.round("v", 6) + 0.0).alias("v"))
 
 
-@query("WITH " + W.POEMS + ", r AS (SELECT row_index FROM poems WHERE poet = 'unknown' OR title = '' OR lower(title) IN " + _MISSING_TITLE + ") SELECT 'poem_' || row_index AS custom_id, row_index FROM r")
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+_PROMPT = (
+    f"{_quoted(impute.ASK[0])} || CASE WHEN a AND t THEN 'the author and the title' WHEN a THEN 'the author' ELSE 'the title' END || {_quoted(impute.ASK[1])} || substr(text, 1, 1000) || {_quoted(impute.ASK[2])}"
+    f" || CASE WHEN a AND t THEN '\"poet\", \"title\" and \"confidence\"' WHEN a THEN '\"poet\" and \"confidence\"' ELSE '\"title\" and \"confidence\"' END || {_quoted(impute.CLOSE)}"
+)
+
+
+@query(
+    "WITH " + W.POEMS + ", r AS (SELECT row_index, text, poet = 'unknown' AS a, title = '' OR lower(title) IN " + _MISSING_TITLE + " AS t FROM poems)"
+    " SELECT 'poem_' || row_index AS custom_id, row_index, CAST(to_json({'custom_id': 'poem_' || row_index, 'params': {'model': 'any-model', 'max_tokens': 200, 'messages': [{'role': 'user', 'content': " + _PROMPT + "}]}}) AS VARCHAR) AS request FROM r WHERE a OR t"
+)
 def llm_batch_requests(spark, sf):
-    return impute.llm_requests(with_flags(W.poems(spark, sf)), "any-model").select("custom_id", "row_index")
+    """The request lines for every document that lacks an author or a title."""
+    return impute.llm_requests(with_flags(W.poems(spark, sf)), "any-model").select("custom_id", "row_index", "request")
 
 
 _PARSED = W.LLM_LINES + """, parsed AS (SELECT line_no, CASE WHEN line_no % 33 = 11 THEN NULL ELSE line_no END AS row_index, line_no % 33 NOT IN (0, 11, 22) AS good,

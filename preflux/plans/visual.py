@@ -85,19 +85,26 @@ def poet_overlay(spark, sf):
     return rounded(visual.poet_overlay(poets, 20).select("poet", "n_poems", "is_canonical", "size"), "size")
 
 
-_LABELS = _POINTS + ", " + W.RATINGS + """, p AS (SELECT row_index, x, y, row_number() OVER (ORDER BY row_index) AS i FROM (SELECT row_index, x, y FROM points JOIN ratings USING (row_index) ORDER BY row_index LIMIT 60)),
+def _labels_sql(where: str, most: str) -> str:
+    """Greedy picks, in order, of the rated points of a kind, up to a number."""
+    return _POINTS + ", " + W.RATINGS + f""", p AS (SELECT row_index, x, y, row_number() OVER (ORDER BY row_index) AS i FROM points JOIN ratings USING (row_index) WHERE {where}),
 d AS (SELECT 0.04 * sqrt(pow(max(x) - min(x), 2) + pow(max(y) - min(y), 2)) AS gap FROM p),
-g AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(r BIGINT, x DOUBLE, y DOUBLE)[]) AS c UNION ALL SELECT p.i, CASE WHEN len(c) < 12 AND len([q FOR q IN c IF sqrt(pow(q.x - p.x, 2) + pow(q.y - p.y, 2)) < gap]) = 0 THEN list_append(c, CAST({'r': row_index, 'x': p.x, 'y': p.y} AS STRUCT(r BIGINT, x DOUBLE, y DOUBLE))) ELSE c END FROM g JOIN p ON p.i = g.i + 1, d)"""
+g AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(r BIGINT, x DOUBLE, y DOUBLE)[]) AS c UNION ALL SELECT p.i, CASE WHEN len(c) < {most} AND len([q FOR q IN c IF sqrt(pow(q.x - p.x, 2) + pow(q.y - p.y, 2)) < gap]) = 0 THEN list_append(c, CAST({{'r': row_index, 'x': p.x, 'y': p.y}} AS STRUCT(r BIGINT, x DOUBLE, y DOUBLE))) ELSE c END FROM g JOIN p ON p.i = g.i + 1, d),
+picks AS (SELECT unnest(list_transform(c, lambda q: q.r)) AS row_index FROM (SELECT c FROM g ORDER BY i DESC LIMIT 1))"""
 
 
-@query("WITH RECURSIVE " + _LABELS + " SELECT CAST(n - 1 AS INTEGER) AS n, c[n].r AS row_index FROM (SELECT c, unnest(range(1, len(c) + 1)) AS n FROM (SELECT c FROM g ORDER BY i DESC LIMIT 1))")
+@query("WITH RECURSIVE " + _labels_sql("true", "12") + " SELECT CAST(row_number() OVER (ORDER BY row_index) - 1 AS INTEGER) AS n, row_index FROM picks")
 def label_pick(spark, sf):
-    """Labels for up to twelve of the sixty rated points that come first."""
-    rows = points(spark, sf).join(W.ratings(spark, sf), "row_index").orderBy("row_index").limit(60).collect()
-    xy = [(r["x"], r["y"]) for r in rows]
-    box = [max(c) - min(c) for c in zip(*xy, strict=True)] if xy else [0.0, 0.0]
-    chosen = visual.pick_labels(xy, 12, math.hypot(*box))
-    return spark.createDataFrame([(n, rows[i]["row_index"]) for n, i in enumerate(chosen)], "n int, row_index long")
+    """Labels for up to twelve of all rated points, each far enough from those before it."""
+    chosen = visual.spaced_points(points(spark, sf).join(W.ratings(spark, sf), "row_index"), 12)
+    return spark.createDataFrame(list(enumerate(chosen)), "n int, row_index long")
+
+
+@query("WITH RECURSIVE " + _labels_sql("row_index % 50 <> 0", "12 - (SELECT least(12, count(*)) FROM points JOIN ratings USING (row_index) WHERE row_index % 50 = 0)") + " SELECT row_index FROM picks UNION SELECT row_index FROM (SELECT row_index FROM points JOIN ratings USING (row_index) WHERE row_index % 50 = 0 ORDER BY row_index LIMIT 12)")
+def label_union(spark, sf):
+    """Twelve labels: every fiftieth point stands for a canonical author's and comes first, the others are spread out among themselves."""
+    rated = points(spark, sf).join(W.ratings(spark, sf), "row_index").withColumn("is_canonical", F.col("row_index") % 50 == 0)
+    return spark.createDataFrame([(i,) for i in visual.label_points(rated, 12)], "row_index long")
 
 
 @query("WITH " + W.TIMINGS + " SELECT m, count(*) AS n_runs, round(avg(fit_seconds), 6) AS mean_fit, min(fit_seconds) AS min_fit, round(avg(total_seconds), 6) AS mean_total, min(total_seconds) AS min_total FROM timings GROUP BY m")

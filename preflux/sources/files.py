@@ -45,6 +45,17 @@ def names(folder: str) -> list[str]:
     return sorted(s.getPath().getName() for s in store.listStatus(at)) if store.exists(at) else []
 
 
+def walk(folder: str) -> list[str]:
+    """Paths of all files below a folder, relative to it, sorted; none where there is no folder."""
+    _, store, at = _open(folder)
+    if not store.exists(at):
+        return []
+    top, found, listed = store.makeQualified(at).toUri().getPath().rstrip("/") + "/", [], store.listFiles(at, True)
+    while listed.hasNext():
+        found.append(listed.next().getPath().toUri().getPath().removeprefix(top))
+    return sorted(found)
+
+
 def remove(path: str) -> None:
     """With all that is below it; nothing happens where there is nothing."""
     _, store, at = _open(path)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from . import files
 
 # Column names by role; the first match wins.
 CANDIDATES = {
@@ -46,9 +48,8 @@ class DetectedColumns:
 
 
 def load_manifest(path: str) -> list[SourceSpec]:
-    """Specs of a JSON array; fields that are missing take their defaults."""
-    with open(path, encoding="utf-8") as f:
-        rows = json.load(f)
+    """Specs of a JSON array, on whatever store the path names; fields that are missing take their defaults."""
+    rows = json.loads(files.read_text(path))
     known = SourceSpec.__dataclass_fields__
     return [SourceSpec(**{k: v for k, v in r.items() if k in known and v is not None}) for r in rows]
 
@@ -71,6 +72,33 @@ def select_sources(specs: list[SourceSpec], names: set[str] | None = None) -> li
 
 
 HUB_KINDS = ("huggingface", "hub", "hf_dataset")
+# The words by which files and folders of a hub dataset name a split.
+SPLIT_WORDS = {"train": ("train", "training"), "validation": ("validation", "valid", "val", "dev"), "test": ("test", "testing", "eval", "evaluation")}
+#: Data formats of a hub dataset by suffix.
+HUB_SUFFIXES = ("parquet", "csv", "jsonl", "ndjson", "json")
+
+
+def hub_files(folder: str, split: str) -> list[str]:
+    """The files of one split of a dataset folder laid out as on the hub.
+
+    A file belongs to the split that a word of its name, or a folder's, names:
+    ``data/train-00000-of-00003.parquet``, ``train.csv``, ``en/validation/0.parquet``. Where no file
+    names any split, all of them are ``train``. Hidden files don't count; no files are an error.
+    """
+    data = [n for n in files.walk(folder) if n.rpartition(".")[2].lower() in HUB_SUFFIXES and not any(part[0] in "._" for part in n.split("/"))]
+
+    def named(words: tuple[str, ...]) -> list[str]:
+        word = re.compile(rf"(?:^|[-_./ ])(?:{'|'.join(map(re.escape, words))})(?:[-_./ ]|$)", re.IGNORECASE)
+        return [n for n in data if word.search(n)]
+
+    found = named(SPLIT_WORDS.get(split, (split,)))
+    if not found and split == "train" and not any(named(words) for words in SPLIT_WORDS.values()):
+        found = data
+    if not found:
+        raise ValueError(f"no files of split {split!r} in {folder}")
+    return [f"{folder}/{n}" for n in found]
+
+
 #: Where a row stands in its source: number of the part, file, start of the block in the file, and a number that rises within the block.
 POSITION = ("__part", "__file", "__block", "__row")
 
@@ -88,19 +116,27 @@ def scan(spark: SparkSession, spec: SourceSpec, hub_root: str | None = None, pos
     if spec.kind in HUB_KINDS:
         if hub_root is None:
             raise ValueError("a hub source needs hub_root, the folder that mirrors it")
-        parts = [placed(spark.read.parquet("/".join(x for x in (hub_root, spec.location, s.strip()) if x)), i) for i, s in enumerate(spec.split.split("+"))]
+        folder = "/".join(x for x in (hub_root.rstrip("/"), spec.location, spec.extra.get("data_dir", "")) if x)
+        parts = []
+        for i, split in enumerate(s.strip() for s in spec.split.split("+")):
+            by_suffix: dict[str, list[str]] = {}
+            for name in hub_files(folder, split):
+                by_suffix.setdefault(name.rpartition(".")[2].lower(), []).append(name)
+            parts += [placed(_read(spark, suffix, names), i) for suffix, names in sorted(by_suffix.items())]
         return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     suffix = PurePosixPath(spec.location).suffix.lstrip(".").lower()
-    kind = suffix if spec.kind in ("local", "file", "local_file") else spec.kind
+    kind = (suffix or spec.kind) if spec.kind in ("local", "file", "local_file") else spec.kind
+    return placed(_read(spark, kind, [spec.location]))
+
+
+def _read(spark: SparkSession, kind: str, paths: list[str]) -> DataFrame:
     if kind == "parquet":
-        return placed(spark.read.parquet(spec.location))
+        return spark.read.parquet(*paths)
     if kind == "csv":
-        return placed(spark.read.csv(spec.location, header=True, inferSchema=True, multiLine=True, escape='"'))
-    if kind in ("jsonl", "ndjson"):
-        return placed(spark.read.json(spec.location))
-    if kind == "json":
-        return placed(spark.read.json(spec.location, multiLine=True))
-    raise ValueError(f"unsupported source kind or suffix: {kind or spec.kind}")
+        return spark.read.csv(paths, header=True, inferSchema=True, multiLine=True, escape='"')
+    if kind in ("jsonl", "ndjson", "json"):
+        return spark.read.json(paths, multiLine=kind == "json")
+    raise ValueError(f"unsupported source kind or suffix: {kind}")
 
 
 def first_rows(df: DataFrame, n: int, order: Sequence[str] = POSITION) -> DataFrame:

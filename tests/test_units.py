@@ -5,7 +5,9 @@ import unicodedata
 from dataclasses import replace
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyarrow import parquet
 from pyspark.sql import functions as F
 
 from preflux.config import DEFAULT, PreferenceConfig
@@ -276,7 +278,8 @@ def test_blr(spark):
 
 
 def test_visual(spark):
-    assert visual.pick_labels([(0, 0), (0.01, 0), (1, 1)], 2, 1.0) == [0, 2]
+    three = spark.createDataFrame([(0, 0.0, 0.0), (1, 0.01, 0.0), (2, 1.0, 1.0)], "row_index long, x double, y double")
+    assert visual.spaced_points(three, 2) == [0, 2] and visual.spaced_points(three, 5, 0.0) == [0, 1, 2] and visual.spaced_points(three.limit(0), 5) == []
     r = np.random.default_rng(0)
     v = spark.createDataFrame([(i, [float(3 * a), float(a + 0.1 * b), float(b)]) for i, (a, b) in enumerate(r.normal(size=(50, 2)))], "row_index long, e array<double>")
     mean, comp = visual.fit_pca(v, 2)
@@ -419,3 +422,53 @@ def test_heatmap_joins_nothing(spark):
     z = {(r.gx, r.gy): r.z for r in h.collect()}
     assert len(z) == 16 and abs(z[0, 0] - 1.0) < 1e-6 and abs(z[3, 3] - 3.0) < 1e-6
     assert visual.heatmap(p.limit(0), 4, 0.2).count() == 0
+
+
+def test_spaced_points_are_the_greedy_ones(spark):
+    """Rounds over cells give what one pass in order gives, canonical points or not."""
+    r = np.random.default_rng(4)
+    xy = np.round(r.normal(size=(700, 2)), 2)
+    rows = spark.createDataFrame([(i, float(x), float(y), i % 90 == 5) for i, (x, y) in enumerate(xy)] + [(900, None, 1.0, False)], "row_index long, x double, y double, is_canonical boolean")
+
+    def greedy(ids, k, spacing):
+        gap, out = spacing * np.sqrt(np.ptp(xy[ids], axis=0) @ np.ptp(xy[ids], axis=0)), []
+        for i in ids:
+            if len(out) < k and all(np.hypot(*(xy[i] - xy[j])) >= gap for j in out):
+                out.append(i)
+        return out
+
+    every = list(range(700))
+    for k, spacing in ((12, 0.04), (200, 0.1), (3, 0.5), (1000, 0.04)):
+        assert visual.spaced_points(rows, k, spacing) == greedy(every, k, spacing)
+    canonical = [i for i in every if i % 90 == 5]
+    assert visual.label_points(rows, 20) == sorted(canonical + greedy([i for i in every if i % 90 != 5], 20 - len(canonical), 0.04))
+    assert visual.label_points(rows, 3) == canonical[:3]
+
+
+def test_hub_layout(spark, tmp_path):
+    """Shards, folders and lone files by split, splits joined, columns pruned in the scan, a dataset that names no split."""
+    root = tmp_path / "hub"
+
+    def put(place, name, rows):
+        (root / place / name).parent.mkdir(parents=True, exist_ok=True)
+        parquet.write_table(pa.table({"title": [r[0] for r in rows], "content": [r[1] for r in rows]}), root / place / name)
+
+    put("me/poems", "data/train-00000-of-00002.parquet", [("a", "x")])
+    put("me/poems", "data/train-00001-of-00002.parquet", [("b", "y")])
+    put("me/poems", "data/validation-00000-of-00001.parquet", [("c", "z")])
+    put("me/poems", "data/test-00000-of-00001.parquet", [("d", "w")])
+    put("you/plain", "all.parquet", [("e", "v")])
+    put("you/dirs", "en/test/0.parquet", [("f", "u")])
+    (root / "you/dirs/en/train").mkdir(parents=True)
+    (root / "you/dirs/en/train/0.csv").write_text("title,content\ng,t\n")
+    (root / "you/dirs/README.json").mkdir()
+    spec = lambda place, split="train", **extra: readers.SourceSpec("h", "huggingface", place, split=split, extra=extra)
+    titles = lambda s: sorted(r.title for r in readers.scan(spark, s, str(root)).collect())
+    assert titles(spec("me/poems")) == ["a", "b"] and titles(spec("me/poems", "train+validation")) == ["a", "b", "c"] and titles(spec("me/poems", "test")) == ["d"]
+    assert titles(spec("you/plain")) == ["e"] and titles(spec("you/dirs", "train+test", data_dir="en")) == ["f", "g"]
+    with pytest.raises(ValueError, match="no files"):
+        titles(spec("me/poems", "extra"))
+    with pytest.raises(ValueError, match="no files"):
+        titles(spec("you/plain", "test"))
+    plan = readers.scan(spark, spec("me/poems"), str(root)).select("title")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<title:string>" in plan
