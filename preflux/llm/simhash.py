@@ -1,8 +1,8 @@
 """SimHash near-duplicates found with vantage-point trees.
 
-Two fingerprints that differ in at most four bits agree in one of five parts of
-the 64, so rows are dealt to five groups by the low bits of each part; as many
-bits as leave ``GROUP_ROWS`` rows a group on average, none for a small table.
+Two fingerprints that differ in at most four bits agree in u of 4 + u parts of
+the 64, so rows are dealt to a group for each choice of u parts, by low bits of these; as many
+bits as leave ``GROUP_ROWS`` rows a group on average, none for a small table, and u as small as gives so many.
 This only spreads the search. Inside a group a vantage-point tree finds the
 links: each node splits its rows by their Hamming distance from a vantage
 point, and a batch of queries goes down to a child only where the triangle
@@ -17,19 +17,20 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import discard, materialize, read, whole_keys
 from .graph import connected_components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
-#: Bits of the parts; RADIUS + 1 of them, so that one stays untouched.
-PARTS = (13, 13, 13, 13, 12)
+#: Parts that are left untouched, at most: enough for 32 bits of key, which deal 8 * 10**12 fingerprints.
+UNTOUCHED = 4
 #: Rows of a group on average, rows from which a group is cut into shards, and the share of its rows that a shard may hold at most (a tighter cluster stays whole).
 GROUP_ROWS, SHARD_ROWS, SHARD_SHARE = 2_000, 20_000, 0.9
 #: Rows of a leaf at most, and queries that go down a tree together.
@@ -181,9 +182,10 @@ def _cut_hot_groups(rows: DataFrame, most: int) -> DataFrame:
 
     With m the median distance, rows up to m + RADIUS / 2 go to the inner shard
     and rows above m - RADIUS / 2 to the outer one: two rows of a link differ by
-    RADIUS at most in their distances, so one shard has both.
+    RADIUS at most in their distances, so one shard has both. A side has no more than
+    SHARD_SHARE of its group's rows, so the levels follow the logarithm of the largest group.
     """
-    half = RADIUS // 2
+    half, before = RADIUS // 2, None
     while True:
         hot = rows.groupBy("key").agg(F.count("*").alias("n"), F.min_by("fp", F.xxhash64("fp")).alias("v")).where(F.col("n") > most)
         far = rows.join(hot, "key").withColumn("d", F.bit_count(F.col("fp").bitwiseXOR(F.col("v"))))
@@ -192,19 +194,32 @@ def _cut_hot_groups(rows: DataFrame, most: int) -> DataFrame:
         sizes = far.join(middle, "key").groupBy("key", "v", "m").agg(F.count("*").alias("n"), F.count_if(inner).alias("i"), F.count_if(outer).alias("o"))
         cuts = materialize(sizes.where(F.greatest("i", "o") <= SHARD_SHARE * F.col("n")).select("key", "v", "m"), "cuts")
         if cuts.isEmpty():
+            discard(cuts)
             return rows
         sides = F.array_compact(F.array(F.when(inner, 0), F.when(outer, 1)))
         shards = rows.join(cuts, "key").withColumn("d", F.bit_count(F.col("fp").bitwiseXOR(F.col("v")))).withColumn("side", F.explode(sides))
         rows = materialize(rows.join(cuts, "key", "left_anti").unionByName(shards.select(F.xxhash64("key", "side").alias("key"), "fp", "node")), "shards")
+        for table in (cuts, before):
+            if table is not None:
+                discard(table)
+        before = rows
+
+
+def group_keys(n: int) -> list[Column]:
+    """The group keys of a fingerprint ``fp`` among n: one for each choice of untouched parts, or a single one for a small table."""
+    bits = math.ceil(math.log2(n / GROUP_ROWS)) if n > GROUP_ROWS else 0
+    if not bits:
+        return [F.xxhash64(F.lit(0))]
+    u = next((u for u in range(1, UNTOUCHED) if u * (64 // (RADIUS + u)) >= bits), UNTOUCHED)
+    width = 64 // (RADIUS + u)
+    low = F.lit((1 << min(width, -(-bits // u))) - 1)
+    parts = [F.shiftrightunsigned("fp", i * width).bitwiseAND(low) for i in range(RADIUS + u)]
+    return [F.xxhash64(F.lit(k), *chosen) for k, chosen in enumerate(combinations(parts, u))]
 
 
 def search_groups(reps: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(key, fp, node): the shards that the distinct fingerprints ``reps`` (fp, node) are searched in, sorted by key."""
-    spare = reps.count() / GROUP_ROWS
-    bits = min(*PARTS, math.ceil(math.log2(spare))) if spare > 1 else 0
-    parts = [F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << bits) - 1)) for at in np.cumsum((0, *PARTS[:-1])).tolist()]
-    # Without bits all five groups would be the same one.
-    keys = F.array(*[F.xxhash64(F.lit(i), p) for i, p in enumerate(parts)][: 5 if bits else 1])
+    keys = F.array(*group_keys(reps.count()))
     rows = _cut_hot_groups(reps.select(F.explode(keys).alias("key"), "fp", "node"), shard_rows)
     # So many partitions whatever their bytes: a group costs more time than room.
     return rows.repartition(int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key")

@@ -232,3 +232,13 @@ def test_url_aliases(spark):
     }
     # 3 is allowed by a rule and an alias of 10, so it outweighs the block on their common target.
     assert url_filter.filter_urls(pages).count() == len(rows) and url_filter.filter_urls(pages.limit(0)).count() == 0
+
+
+def test_simhash_with_more_key_bits(spark, docs, odd, monkeypatch):
+    """A table that needs keys of 20 bits and of 27: one group for each choice of two or three untouched parts, the same classes."""
+    for rows, choices in ((0.0005, 15), (1e-5, 35)):
+        monkeypatch.setattr(simhash, "GROUP_ROWS", rows)
+        assert len(simhash.group_keys(200)) == choices
+        check_classes([(r.doc_id, r.text) for r in docs.collect()], simhash.near_duplicates(docs))
+        check_classes([(r.doc_id, r.text) for r in odd.collect()], simhash.near_duplicates(odd))
+    assert len(simhash.group_keys(0)) == 1
