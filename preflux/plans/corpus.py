@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import corpus, impute
+from ..operators import corpus, encoder, impute
 from ..sources import readers
 from . import views as W
 
@@ -304,3 +304,22 @@ def llm_apply(spark, sf):
  count(*) FILTER (sure AND poet IS NOT NULL) AS applied_poet, count(*) FILTER (sure AND title <> 'untitled') AS applied_title, count(*) FILTER (sure AND poet IS NOT NULL AND title <> 'untitled') AS applied_both FROM s""")
 def llm_apply_stats(spark, sf):
     return applied(spark, sf)[1]
+
+
+@query(
+    r"WITH t AS (SELECT doc_id AS row_index, unnest(list_filter(string_split_regex(lower(text), '[ \t\n\x0b\f\r]+'), lambda w: w <> '')) AS term FROM documents), tf AS (SELECT row_index, term, count(*) AS n FROM t GROUP BY ALL),"
+    " df AS (SELECT term, ln((1 + (SELECT count(*) FROM documents)) / (1 + count(*))) + 1 AS idf FROM tf GROUP BY term HAVING count(*) >= 2 ORDER BY count(*) DESC, term LIMIT 500),"
+    " w AS (SELECT row_index, term, n * idf AS w FROM tf JOIN df USING (term)) SELECT row_index, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY row_index)), 6) AS weight FROM w"
+)
+def tfidf_weights(spark, sf):
+    """The unit tf-idf row of every document over the five hundred words that most documents hold."""
+    p = W.poems(spark, sf).select("row_index", "text")
+    vocab, idf = encoder.vocabulary(p, most=500, grams=0)
+    return encoder.TextEncoder(vocab, idf, idf[:, None]).weights(p).withColumn("weight", F.round("weight", 6))
+
+
+@query()
+def encode_text(spark, sf):
+    """Every document by the encoder that is trained on them."""
+    p = W.poems(spark, sf).select("row_index", "text")
+    return encoder.fit(p).encode(p)
