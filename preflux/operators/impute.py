@@ -25,11 +25,14 @@ def first_line_fill(poems: DataFrame) -> DataFrame:
 
     Ties go to the smallest name; a line needs two rows at least.
     """
-    rows = poems.select("row_index", "poet", T.first_line(F.col("text")).alias("line"), T.is_missing_poet(F.col("poet")).alias("missing"))
-    lines = rows.groupBy("line").agg(F.count("*").alias("n")).where("n >= 2")
-    votes = rows.where("NOT missing").groupBy("line", "poet").agg(F.count("*").alias("n"))
-    winner = votes.groupBy("line").agg(F.min(F.struct((-F.col("n")).alias("n"), "poet")).alias("first")).select("line", F.col("first.poet").alias("poet_new"))
-    return rows.where("missing").join(lines.select("line"), "line", "left_semi").join(winner, "line").select("row_index", "poet_new")
+    line = T.first_line(F.col("text"))
+    missing = T.is_missing_poet(F.col("poet"))
+    # Lines meet by their digest, so none is shuffled whole.
+    rows = poems.select("row_index", F.unhex(F.md5(line)).alias("line"), F.when(~missing, F.col("poet")).alias("known"), missing.alias("missing"))
+    votes = rows.groupBy("line", "known").agg(F.count("*").alias("n"))
+    winner = F.min(F.when(F.col("known").isNotNull(), F.struct((-F.col("n")).alias("n"), "known"))).alias("first")
+    lines = votes.groupBy("line").agg(F.sum("n").alias("n"), winner).where("n >= 2 AND first IS NOT NULL").select("line", F.col("first.known").alias("poet_new"))
+    return rows.where("missing").join(lines, "line").select("row_index", "poet_new")
 
 
 def group_centroids(vectors: DataFrame, group: str, min_rows: int) -> DataFrame:

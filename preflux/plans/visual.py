@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from ..operators import benchstats, visual
+from ..operators import benchstats, neighbours, visual
 from . import views as W
 
 QUERIES: dict = {}
@@ -85,6 +85,22 @@ def poet_overlay(spark, sf):
     return rounded(visual.poet_overlay(poets, 20).select("poet", "n_poems", "is_canonical", "size"), "size")
 
 
+@query(
+    "WITH " + W.VECTORS + ", d AS (SELECT a.row_index, b.row_index AS neighbour, sqrt(greatest(list_dot_product(a.e, a.e) + list_dot_product(b.e, b.e) - 2 * list_dot_product(a.e, b.e), 0)) AS distance FROM vectors a, vectors b WHERE a.row_index <> b.row_index)"
+    " SELECT row_index, neighbour, round(distance, 6) AS distance, CAST(row_number() OVER (PARTITION BY row_index ORDER BY distance, neighbour) AS INT) AS rank FROM d QUALIFY rank <= 5"
+)
+def knn_graph(spark, sf):
+    """The five nearest others of every vector."""
+    return rounded(neighbours.knn_graph(W.vectors(spark, sf), 5), "distance").select("row_index", "neighbour", "distance", "rank")
+
+
+@query()
+def neighbour_layout(spark, sf):
+    """All vectors in the plane, neighbours near each other."""
+    v = W.vectors(spark, sf)
+    return neighbours.layout(neighbours.knn_graph(v, 10), visual.project(v, *visual.fit_pca(v, 2)), 10)
+
+
 def _labels_sql(where: str, most: str) -> str:
     """Greedy picks, in order, of the rated points of a kind, up to a number."""
     return _POINTS + ", " + W.RATINGS + f""", p AS (SELECT row_index, x, y, row_number() OVER (ORDER BY row_index) AS i FROM points JOIN ratings USING (row_index) WHERE {where}),
