@@ -20,33 +20,42 @@ from .chunks import BUCKET_HASHES, bucket_cuts, chunk_count, pack, prefix, rolli
 from .common import read
 
 WINDOW = 35
-#: Seed of the second hash's word digests.
-SECOND = 11
+#: Seeds of the word digests of either hash.
+FIRST, SECOND = 7, 11
 #: Bytes of text that a window starts at on average; only sizes the buckets.
 BYTES_PER_WORD = 6
 
 
-def window_hashes(texts: list[str], window: int, seed: int = 7) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
-    """Words of each text, and flat (over all words) window starts with their hashes."""
-    lists = [t.encode().split() for t in texts]
-    known: dict[bytes, int] = {}
-    digest = xxhash.xxh64_intdigest
-    flat = []
-    for ws in lists:
-        for w in set(ws).difference(known):
-            known[w] = digest(w, seed)
-        flat += map(known.__getitem__, ws)
-    values = np.array(flat, np.uint64)
-    lengths = np.fromiter(map(len, lists), np.int64, len(lists))
-    doc = np.repeat(np.arange(len(lists)), lengths)
-    starts = np.flatnonzero(doc[: -window + 1] == doc[window - 1 :]) if len(values) >= window else np.zeros(0, np.int64)
-    return lists, starts, rolling(prefix(values), starts, starts + window)
+class Windows:
+    """The windows of a chunk's texts: their flat starts over all words, and hashes from digests of the distinct words."""
+
+    def __init__(self, texts: list[str], window: int):
+        self.lists = [t.encode().split() for t in texts]
+        self.window = window
+        known: dict[bytes, int] = {}
+        for ws in self.lists:
+            for w in set(ws).difference(known):
+                known[w] = len(known)
+        flat: list[int] = []
+        for ws in self.lists:
+            flat += map(known.__getitem__, ws)
+        self.words, self.ids = list(known), np.array(flat, np.int64)
+        lengths = np.fromiter(map(len, self.lists), np.int64, len(self.lists))
+        self.ends = np.cumsum(lengths)
+        doc = np.repeat(np.arange(len(self.lists)), lengths)
+        self.starts = np.flatnonzero(doc[: -window + 1] == doc[window - 1 :]) if len(flat) >= window else np.zeros(0, np.int64)
+
+    def hashes(self, seed: int, some: np.ndarray | None = None) -> np.ndarray:
+        """Of all windows, or of those that are marked."""
+        digest = xxhash.xxh64_intdigest
+        values = np.array([digest(w, seed) for w in self.words], np.uint64)[self.ids] if len(self.ids) else np.zeros(0, np.uint64)
+        starts = self.starts if some is None else self.starts[some]
+        return rolling(prefix(values), starts, starts + self.window)
 
 
 def _send(buckets: int, window: int):
     def run(key, table):
-        _, _, hashes = window_hashes([t or "" for t in table.column("text").to_pylist()], window)
-        distinct = np.unique(hashes)
+        distinct = np.unique(Windows([t or "" for t in table.column("text").to_pylist()], window).hashes(FIRST))
         cuts = bucket_cuts(distinct, buckets)
         full = np.flatnonzero(np.diff(cuts))
         blobs = [pack(distinct[cuts[b] : cuts[b + 1]]) for b in full]
@@ -79,31 +88,30 @@ def _shared(table, lists: list[np.ndarray]):
     return picked.append_column("bits", pa.array([np.packbits(parts[i]).tobytes() for i in keep], pa.binary()))
 
 
-def _repeated(texts: list[str], buckets: int, window: int, answers) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray]:
-    """Words, window starts, hashes, and which windows look repeated: in the chunk itself or by the buckets' answers."""
-    lists, starts, hashes = window_hashes(texts, window)
+def _doubles(windows: Windows, buckets: int, answers) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Which windows look repeated, in the chunk itself or by the buckets' answers; of these the distinct pairs of both hashes in order, which of them each has, and how often each occurs."""
+    hashes = windows.hashes(FIRST)
     distinct, inverse, counts = np.unique(hashes, return_inverse=True, return_counts=True)
     repeated = counts > 1
     cuts = bucket_cuts(distinct, buckets)
     for b, bits in zip(answers.column("bucket").to_pylist(), answers.column("bits").to_pylist(), strict=True):
         n = cuts[b + 1] - cuts[b]
         repeated[cuts[b] : cuts[b + 1]] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool)
-    return lists, starts, hashes, repeated[inverse]
-
-
-def _doubles(texts: list[str], hashes: np.ndarray, looks: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the windows that look repeated: the distinct pairs of both hashes in order, which of them each window has, and how often each occurs."""
-    _, _, second = window_hashes(texts, window, SECOND)
+    looks = repeated[inverse]
     pairs = np.empty(int(looks.sum()), [("a", np.uint64), ("b", np.uint64)])
-    pairs["a"], pairs["b"] = hashes[looks], second[looks]
-    return np.unique(pairs, return_inverse=True, return_counts=True)
+    pairs["a"], pairs["b"] = hashes[looks], windows.hashes(SECOND, looks)
+    order = np.lexsort((pairs["b"], pairs["a"]))
+    ranked = pairs[order]
+    new = np.ones(len(ranked), bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    place = np.empty(len(ranked), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return looks, ranked[new], place, np.bincount(place, minlength=int(new.sum()))
 
 
 def _send_doubles(buckets: int, window: int):
     def run(left, right):
-        texts = [t or "" for t in left.column("text").to_pylist()]
-        _, _, hashes, looks = _repeated(texts, buckets, window, right)
-        pairs, _, _ = _doubles(texts, hashes, looks, window)
+        _, pairs, _, _ = _doubles(Windows([t or "" for t in left.column("text").to_pylist()], window), buckets, right)
         cuts = bucket_cuts(pairs["a"].copy(), buckets)
         full = np.flatnonzero(np.diff(cuts))
         key = left.column("chunk")[0].as_py() if len(left) else 0
@@ -115,22 +123,21 @@ def _send_doubles(buckets: int, window: int):
 
 def _remove(buckets: int, window: int, id_type: pa.DataType):
     def run(left, right):
-        texts = [t or "" for t in left.column("text").to_pylist()]
+        windows = Windows([t or "" for t in left.column("text").to_pylist()], window)
         first, second = (right.filter(pa.compute.equal(right.column("round"), r)) for r in (1, 2))
-        lists, starts, hashes, looks = _repeated(texts, buckets, window, first)
-        pairs, inverse, counts = _doubles(texts, hashes, looks, window)
+        looks, pairs, inverse, counts = _doubles(windows, buckets, first)
         repeated = counts > 1
         cuts = bucket_cuts(pairs["a"].copy(), buckets)
         for b, bits in zip(second.column("bucket").to_pylist(), second.column("bits").to_pylist(), strict=True):
             repeated[cuts[b] : cuts[b + 1]] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=cuts[b + 1] - cuts[b]).astype(bool)
-        ends = np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)))
+        ends = windows.ends
         edge = np.zeros((ends[-1] if len(ends) else 0) + 1, np.int64)
-        hit = starts[looks][repeated[inverse]]
+        hit = windows.starts[looks][repeated[inverse]]
         np.add.at(edge, hit, 1)
         np.add.at(edge, hit + window, -1)
         gone = np.cumsum(edge)[:-1] > 0
         out: dict[str, list] = {"n_words": [], "n_removed": [], "spans": [], "kept": []}
-        for ws, end in zip(lists, ends, strict=True):
+        for ws, end in zip(windows.lists, ends, strict=True):
             mask = gone[end - len(ws) : end]
             at = np.flatnonzero(np.diff(np.r_[False, mask, False]))
             out["n_words"].append(len(ws))
