@@ -90,8 +90,8 @@ def poet_overlay(spark, sf):
     " SELECT row_index, neighbour, round(distance, 6) AS distance, CAST(row_number() OVER (PARTITION BY row_index ORDER BY distance, neighbour) AS INT) AS rank FROM d QUALIFY rank <= 5"
 )
 def knn_graph(spark, sf):
-    """The five nearest others of every vector."""
-    return rounded(neighbours.knn_graph(W.vectors(spark, sf), 5), "distance").select("row_index", "neighbour", "distance", "rank")
+    """The five nearest others of every vector, exactly."""
+    return rounded(neighbours.exact_graph(W.vectors(spark, sf), 5), "distance").select("row_index", "neighbour", "distance", "rank")
 
 
 @query()

@@ -66,3 +66,13 @@ def test_fuzzy_weights(spark, k):
     w = {(r.row_index, r.neighbour): r.weight for r in neighbours.fuzzy_union(neighbours.knn_graph(frame(spark, x), k), k).collect()}
     assert all(0 < v <= 1 + 1e-12 and abs(w[j, i] - v) < 1e-12 for (i, j), v in w.items())
     assert all(abs(w[i, int(n)] - 1) < 1e-9 for i, (n, *_) in enumerate(nearest(x, k)))
+
+
+def test_exact_graph_is_brute_force_over_waves(spark, monkeypatch):
+    """Clusters that a descent may miss, many equal vectors, several waves: every neighbour is the right one, ties by id."""
+    monkeypatch.setattr(neighbours, "WAVE_BYTES", 10_000)
+    x = np.vstack([clusters(300), np.ones((40, 10)), np.zeros((1, 10))])
+    got = {(r.row_index, r["rank"]): r.neighbour for r in neighbours.exact_graph(frame(spark, x), 5).collect()}
+    assert got == {(i, j + 1): int(n) for i, row in enumerate(nearest(x, 5)) for j, n in enumerate(row)}
+    assert neighbours.exact_graph(frame(spark, x[:3]), 5).count() == 6 and neighbours.exact_graph(frame(spark, x[:1]), 5).count() == 0
+    assert neighbours.exact_graph(frame(spark, x[:1]).limit(0), 5).count() == 0
