@@ -472,3 +472,17 @@ def test_hub_layout(spark, tmp_path):
         titles(spec("you/plain", "test"))
     plan = readers.scan(spark, spec("me/poems"), str(root)).select("title")._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<title:string>" in plan
+
+
+def test_hashed_texts_shuffle_nothing(spark):
+    """One narrow pass, the same cells as Spark's own hash of every gram."""
+    docs = spark.createDataFrame([(0, "Abc déf abc"), (1, " \n"), (2, None), (3, "x")], "row_index long, t string")
+    out = visual.embed_hashing(docs, "t", 8)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    grams = {0: [" ab", "abc", "bc "] * 2 + [" dé", "déf", "éf "], 1: [""], 2: [""], 3: [" x "]}
+    hashes = {r.g: r.h for r in spark.createDataFrame([(g,) for v in grams.values() for g in v], "g string").select("g", F.xxhash64("g").alias("h")).collect()}
+    for r in out.collect():
+        want = np.zeros(8)
+        for g in grams[r.row_index]:
+            want[hashes[g] % 8] += -1.0 if hashes[g] < 0 else 1.0
+        assert np.allclose(r.e, want / max(np.linalg.norm(want), 1e-300))
