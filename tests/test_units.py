@@ -486,3 +486,16 @@ def test_hashed_texts_shuffle_nothing(spark):
         for g in grams[r.row_index]:
             want[hashes[g] % 8] += -1.0 if hashes[g] < 0 else 1.0
         assert np.allclose(r.e, want / max(np.linalg.norm(want), 1e-300))
+
+
+def test_few_texts_are_strings_at_once(monkeypatch):
+    """However many rows a batch has, no more than ROWS of them are turned into Python strings together."""
+    seen = []
+    monkeypatch.setattr(T, "ROWS", 3)
+    monkeypatch.setattr(T, "_tidy", lambda x: seen.append(x) or x)
+    monkeypatch.setattr(T, "_loose", lambda x: seen.append("|") or x)
+    columns = [pa.array([f"{c}{i}" for i in range(8)]) for c in "abc"]
+    out = T._tidy_fields.func(*columns)
+    assert len(out) == 8 and out.field("text").to_pylist() == columns[2].to_pylist()
+    assert max(len([x for x in run if x]) for run in " ".join(map(str, seen)).split("|") for run in [run.split()]) <= 3
+    assert len(T._tidy_fields.func(*[c.slice(0, 0) for c in columns])) == 0
