@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import discard, materialize, whole_keys
 from .graph import connected_components
 
@@ -179,6 +180,19 @@ def _verified(pairs: DataFrame, docs: DataFrame, key: str, text: str) -> DataFra
     return links
 
 
+def _simhash_pairs(reps: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(a, b), a < b: pairs that span the classes of fingerprints which the SimHash operator finds among ``reps``."""
+    texts = docs.select(F.col(key).alias("node"), F.col(text).alias("text")).join(reps.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    fps = materialize(simhash.with_fingerprints(texts, "node", "text"), "fingerprints")
+    ones = materialize(fps.groupBy("fp").agg(F.min("id").alias("node")), "representatives")
+    same = fps.join(ones, "fp").select(F.col("node").alias("a"), F.col("id").alias("b"))
+    pairs = simhash.fingerprint_links(ones).unionByName(same).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    out = materialize(pairs.distinct(), "simhash-pairs")
+    discard(fps)
+    discard(ones)
+    return out
+
+
 def near_copies(docs: DataFrame, key: str, text: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(key, component) per key of ``docs``; the smallest key of the class, over links of Jaccard similarity 0.8 or more.
 
@@ -195,9 +209,19 @@ def near_copies(docs: DataFrame, key: str, text: str, block_rows: int = BLOCK_RO
     n = reps.select("node", "n")
     stars = live.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
     sized = stars.join(n.withColumnsRenamed({"node": "a", "n": "x"}), "a").join(n.withColumnsRenamed({"node": "b", "n": "y"}), "b")
-    tested = materialize(sized.where(5 * F.least("x", "y") >= 4 * F.greatest("x", "y")).select("a", "b"), "pairs")
-    links = _verified(tested, docs, key, text)
+    stars = materialize(sized.where(5 * F.least("x", "y") >= 4 * F.greatest("x", "y")).select("a", "b"), "stars")
+    # SimHash comes first: what its operator links is verified. A row in many bands then meets one lead, and others only where that has not joined them.
+    near = _simhash_pairs(reps, docs, key, text)
+    first = materialize(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").unionByName(near).distinct(), "pairs")
+    links = _verified(first, docs, key, text)
     parts = connected_components(links)
+    of = lambda end: parts.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
+    rest = stars.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+    rest = materialize(rest.join(first, ["a", "b"], "left_anti"), "pairs")
+    tested = first.unionByName(rest)
+    if not rest.isEmpty():
+        links = materialize(links.unionByName(_verified(rest, docs, key, text)), "links")
+        parts = connected_components(links)
 
     comp = live.join(parts, "node", "left").select("band", "rows", "node", F.coalesce("component", "node").alias("comp"))
     apart = comp.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("band")
@@ -221,7 +245,7 @@ def near_copies(docs: DataFrame, key: str, text: str, block_rows: int = BLOCK_RO
         parts = connected_components(links)
     classes = reps.select("seq", "node").join(parts, "node", "left").select("seq", F.coalesce("component", "node").alias("component"))
     out = materialize(signed.select("key", "seq").distinct().join(classes, "seq").select("key", "component"), "classes")
-    for table in (signed, reps, live, tested, pairs, links, parts):
+    for table in (signed, reps, live, stars, first, rest, pairs, links, parts):
         discard(table)
     return out
 

@@ -87,3 +87,16 @@ def test_sketches_rule_out_no_pair():
             while len(x) != len(y):
                 x, y = (near_copies.folded(x), y) if len(x) > len(y) else (x, near_copies.folded(y))
             assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+
+
+def test_a_hot_group_gives_few_links(spark, monkeypatch):
+    """Near copies that share many bands come to the components with two links a row at most, and SimHash is asked first."""
+    r, sizes, asked = random.Random(7), [], []
+    components, pairs = near_copies.connected_components, near_copies._simhash_pairs
+    monkeypatch.setattr(near_copies, "connected_components", lambda links: sizes.append(links.count()) or components(links))
+    monkeypatch.setattr(near_copies, "_simhash_pairs", lambda *a: asked.append(1) or pairs(*a))
+    hub = [f"h{i}" for i in range(200)]
+    rows = [(i, edited(r, hub, 1 + i % 3)) for i in range(150)]
+    classes = near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()
+    assert asked == [1] and len(classes) == 150 and len({c.component for c in classes}) == 1
+    assert max(sizes) <= 2 * len(rows)
