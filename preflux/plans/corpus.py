@@ -327,4 +327,4 @@ def tfidf_weights(spark, sf):
 def encode_text(spark, sf):
     """Every document by the encoder that is trained on them."""
     p = W.poems(spark, sf).select("row_index", "text")
-    return encoder.fit(p).encode(p)
+    return encoder.fit_encode(p)[1]

@@ -1,6 +1,9 @@
 """The trained encoder against a dense decomposition, and against hashing on the given documents."""
 
+from collections import Counter
+
 import numpy as np
+from pyspark.sql import functions as F
 
 from preflux.operators import encoder, interfaces
 
@@ -57,3 +60,34 @@ def test_beats_hashing_on_given_documents(spark):
     trained = encoder.fit(docs).encode(docs).orderBy("row_index").toPandas()["e"].tolist()
     hashed = interfaces.HashingEncoder().encode(docs, "text").orderBy("row_index").toPandas()["e"].tolist()
     assert agreement(trained, marks) > max(0.999, agreement(hashed, marks))
+
+
+def test_texts_are_read_twice_for_a_fit(spark):
+    """Once for the terms and once for their counts, whatever the rounds; fewer texts than columns are no fault."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def marked(text):
+        seen.add(1)
+        return text
+
+    encoder.fit(frame(spark, TEXTS).select("row_index", marked.asNondeterministic()("text").alias("text")), dims=3, powers=3)
+    assert seen.value == 2 * len(TEXTS)
+
+
+def test_places_are_those_of_the_features(monkeypatch):
+    monkeypatch.setattr(encoder, "WORDS", 2)
+    for grams in (0, 3):
+        places = encoder._Places(grams)
+        for text in [*TEXTS, "abc abcd abc d"]:
+            at, n = places.counts(text)
+            names = list(places.place)
+            assert {names[i]: c for i, c in zip(at, n, strict=True)} == Counter(encoder.features(text, grams))
+
+
+def test_corpus_encoded_from_its_counts(spark):
+    rows = frame(spark, TEXTS)
+    model, out = encoder.fit_encode(rows, dims=3)
+    a, b = (sorted(df.collect()) for df in (out, model.encode(rows)))
+    assert [r.row_index for r in a] == list(range(len(TEXTS))) and np.allclose([r.e for r in a], [r.e for r in b])
+    assert encoder.fit_encode(rows.limit(2))[1].count() == 2
