@@ -32,6 +32,8 @@ CURVE_A, CURVE_B = 1.577, 0.895
 #: Rows moved together, strangers in the pool, strangers for each neighbour, rounds over all blocks, steps of a block in a round.
 LAYOUT_BLOCK, POOL, STRANGERS, LAYOUT_ROUNDS, STEPS = 4_096, 1_024, 5, 8, 25
 
+#: Pairs of rows of small groups that are multiplied at once.
+PAIRS = 1 << 20
 #: Bytes of rows that a pass over all rows takes along when the graph is exact.
 WAVE_BYTES = 16 << 20
 
@@ -44,10 +46,13 @@ def _nearest(ids: np.ndarray, x: np.ndarray, k: int) -> pa.RecordBatch:
     for at in range(0, len(ids), 512):
         d = gp.squared_distances(x[at : at + 512], x)
         d[ids[at : at + 512][:, None] == ids[None, :]] = np.inf
-        top = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :k]
-        rows, cols = np.repeat(np.arange(len(d)), top.shape[1]), top.ravel()
-        fine = np.isfinite(d[rows, cols])
-        out.append((ids[at : at + 512][rows[fine]], ids[cols[fine]], np.sqrt(d[rows, cols][fine])))
+        last = min(k, len(ids)) - 1
+        rows, cols = np.nonzero((d <= np.partition(d, last, axis=1)[:, last : last + 1]) & np.isfinite(d))
+        order = np.lexsort((ids[cols], d[rows, cols], rows))
+        rows, cols = rows[order], cols[order]
+        fine = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+        rows, cols = rows[fine], cols[fine]
+        out.append((ids[at : at + 512][rows], ids[cols], np.sqrt(d[rows, cols])))
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["row_index", "neighbour", "distance"])
 
 
@@ -76,15 +81,62 @@ def _started(vectors: DataFrame, k: int, seed: int) -> DataFrame:
     return dealt.select("block", "cut", "row_index", "e").groupBy("block", "cut").applyInArrow(lambda t: pa.Table.from_batches([_nearest(t.column("row_index").to_numpy(), V.batch_matrix(t.column("e").combine_chunks()), k)]), EDGES)
 
 
+def _nearest_in_groups(group: np.ndarray, ids: np.ndarray, x: np.ndarray, far: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each row's k nearest of its group's others that are no farther than ``far``; the rows come sorted by group, and groups are small."""
+    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    counts = np.diff(np.r_[starts, len(group)])
+    found: tuple[list, list, list] = ([], [], [])
+    for n in np.unique(counts):  # groups of one size are one stack of matrices
+        of = starts[counts == n]
+        step = max(1, PAIRS // (n * n))
+        for at in (of[i : i + step, None] + np.arange(n) for i in range(0, len(of), step)):
+            y, own = x[at], ids[at]
+            norms = (y * y).sum(2)
+            d = np.maximum(norms[:, :, None] + norms[:, None, :] - 2.0 * y @ y.transpose(0, 2, 1), 0.0)
+            d[own[:, :, None] == own[:, None, :]] = np.inf
+            top = np.lexsort((np.broadcast_to(own[:, None, :], d.shape), d), axis=2)[:, :, :k]
+            near = np.sqrt(np.take_along_axis(d, top, 2))
+            keep = np.isfinite(near) & (near <= far[at][:, :, None])
+            found[0].append(np.broadcast_to(own[:, :, None], top.shape)[keep])
+            found[1].append(np.take_along_axis(np.broadcast_to(own[:, None, :], d.shape), top, 2)[keep])
+            found[2].append(near[keep])
+    return tuple(np.concatenate(part) for part in found)
+
+
 def _improved(graph: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """Edges among the neighbours of each row, those that name it included: of either kind k at most, which bounds a group."""
+    """Edges among the neighbours of each row, those that name it included: of either kind k at most, which bounds a group.
+
+    An edge longer than all k that its row has can't enter, and is left out where it arises. A task takes its groups together.
+    """
     named = graph.select(F.col("neighbour").alias("row_index"), F.col("row_index").alias("neighbour"))
     some = F.row_number().over(Window.partitionBy("row_index").orderBy(F.xxhash64("row_index", "neighbour")))
     # A row that very many name would be one window of all of them: their number is cut down within salts first.
     salted = named.withColumn("n", F.row_number().over(Window.partitionBy("row_index", F.pmod(F.xxhash64("neighbour"), F.lit(64))).orderBy(F.xxhash64("row_index", "neighbour")))).where(F.col("n") <= k).drop("n")
     members = graph.select("row_index", "neighbour").unionByName(salted.withColumn("n", some).where(F.col("n") <= k).drop("n")).distinct()
-    held = members.join(vectors.select(F.col("row_index").alias("neighbour"), "e"), "neighbour").select("row_index", "neighbour", "e")
-    return held.groupBy("row_index").applyInArrow(lambda t: pa.Table.from_batches([_nearest(t.column("neighbour").to_numpy(), V.batch_matrix(t.column("e").combine_chunks()), k)]), EDGES)
+    # The products of a round differ in the last places from those before, so a hair is allowed.
+    reach = graph.groupBy("row_index").agg(F.when(F.count("*") >= k, F.max("distance") * (1 + 1e-9) + 1e-9).otherwise(F.lit(float("inf"))).alias("far"))
+    rows = vectors.select(F.col("row_index").alias("neighbour"), "e").join(reach.withColumnRenamed("row_index", "neighbour"), "neighbour", "left")
+    held = members.join(rows, "neighbour").select("row_index", "neighbour", "e", F.coalesce("far", F.lit(float("inf"))).alias("far"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            whole = pa.table(batch) if rest is None else pa.concat_tables([rest, pa.table(batch)])
+            own = whole.column("row_index").to_numpy()
+            # The last group may go on in the next batch.
+            end = int(np.searchsorted(own, own[-1])) if len(own) else 0
+            if end:
+                yield of(whole.slice(0, end))
+            rest = whole.slice(end)
+        if rest is not None and len(rest):
+            yield of(rest)
+
+    def of(table: pa.Table) -> pa.RecordBatch:
+        own, ids, far = (table.column(c).to_numpy() for c in ("row_index", "neighbour", "far"))
+        found = _nearest_in_groups(own, ids, V.batch_matrix(table.column("e").combine_chunks()), far, k)
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["row_index", "neighbour", "distance"])
+
+    return held.repartition("row_index").sortWithinPartitions("row_index").mapInArrow(run, EDGES)
 
 
 def knn_graph(vectors: DataFrame, k: int = 10, rounds: int = ROUNDS) -> DataFrame:
@@ -155,26 +207,41 @@ def exact_graph(vectors: DataFrame, k: int = 10) -> DataFrame:
     return _best(reduce(DataFrame.unionByName, [wave(w) for w in range(waves)]), k)
 
 
+def _memberships(d: np.ndarray, k: int) -> np.ndarray:
+    """Weights of the edges of each row of ``d`` (rows x edges): bisection of all rows' scales at once."""
+    first = np.where(d > 0, d, np.inf).min(1, keepdims=True)
+    over = np.maximum(d - np.where(np.isfinite(first), first, 0.0), 0)
+    low, high, scale = np.zeros(len(d)), np.full(len(d), np.inf), np.ones(len(d))
+    open_ = np.ones(len(d), bool)
+    for _ in range(64):
+        total = np.exp(-over / scale[:, None]).sum(1)
+        open_ &= np.abs(total - np.log2(k)) >= 1e-5
+        if not open_.any():
+            break
+        high, low = np.where(open_ & (total > np.log2(k)), scale, high), np.where(open_ & (total <= np.log2(k)), scale, low)
+        scale = np.where(open_, np.where(np.isfinite(high), (low + high) / 2, scale * 2), scale)
+    scale = np.maximum(scale, np.maximum(1e-3 * d.mean(1), 1e-12))
+    return np.exp(-over / scale[:, None])
+
+
 def fuzzy_union(graph: DataFrame, k: int) -> DataFrame:
     """(row_index, neighbour, weight) in both directions: membership falls off from the nearest neighbour on so that the weights of a row come to log2(k); a + b - ab unites both."""
 
-    def run(table: pa.Table) -> pa.Table:
-        d = np.sort(table.column("distance").to_numpy())
-        first = d[d > 0].min(initial=np.inf)
-        first = 0.0 if not np.isfinite(first) else first
-        low, high = 0.0, np.inf
-        scale = 1.0
-        for _ in range(64):
-            total = np.exp(-np.maximum(d - first, 0) / scale).sum()
-            if abs(total - np.log2(k)) < 1e-5:
-                break
-            low, high = (low, scale) if total > np.log2(k) else (scale, high)
-            scale = (low + high) / 2 if np.isfinite(high) else scale * 2
-        scale = max(scale, 1e-3 * d.mean() if len(d) else 1e-3, 1e-12)
-        w = np.exp(-np.maximum(table.column("distance").to_numpy() - first, 0) / scale)
-        return pa.table({"row_index": table.column("row_index"), "neighbour": table.column("neighbour"), "w": pa.array(w)})
-
-    one = graph.select("row_index", "neighbour", "distance").groupBy("row_index").applyInArrow(run, "row_index long, neighbour long, w double")
+    row = F.struct("neighbour", "distance")
+    lists = graph.groupBy("row_index").agg(F.sort_array(F.collect_list(row)).alias("z"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            z = batch.column(1)
+            n, cells = np.diff(z.offsets.to_numpy()), z.flatten()
+            d = cells.field(1).to_numpy()
+            for size in np.unique(n):  # rows with as many neighbours are one matrix
+                at = (np.cumsum(n) - n)[n == size][:, None] + np.arange(size)
+                w = _memberships(d[at], k)
+                ids = np.repeat(batch.column(0).to_numpy()[n == size], size)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), cells.field(0).take(pa.array(at.ravel())), pa.array(w.ravel())], ["row_index", "neighbour", "w"])
+
+    one = lists.mapInArrow(run, "row_index long, neighbour long, w double")
     both = one.unionByName(one.select(F.col("neighbour").alias("row_index"), F.col("row_index").alias("neighbour"), "w"))
     return both.groupBy("row_index", "neighbour").agg((F.sum("w") - F.when(F.count("*") > 1, F.product("w")).otherwise(0.0)).alias("weight"))
 
@@ -189,13 +256,13 @@ def _moved(x: np.ndarray, at: np.ndarray, there: np.ndarray, inside: np.ndarray,
         diff = x[a] - target
         d2 = (diff * diff).sum(1)
         pull = -2 * CURVE_A * CURVE_B * d2 ** (CURVE_B - 1) / (1 + CURVE_A * d2**CURVE_B) if len(d2) else d2
-        move = np.zeros_like(x)
-        np.add.at(move, a, np.clip(np.where(d2 > 0, pull, 0.0)[:, None] * diff, -4, 4))
+        pulled = np.clip(np.where(d2 > 0, pull, 0.0)[:, None] * diff, -4, 4)
         others = np.repeat(a, STRANGERS)
         diff = x[others] - pool[rng.integers(0, len(pool), len(others))]
         d2 = (diff * diff).sum(1)
         push = 2 * CURVE_B / ((0.001 + d2) * (1 + CURVE_A * d2**CURVE_B))
-        np.add.at(move, others, np.clip(push[:, None] * diff, -4, 4))
+        every, by = np.concatenate([a, others]), np.concatenate([pulled, np.clip(push[:, None] * diff, -4, 4)])
+        move = np.stack([np.bincount(every, by[:, c], len(x)) for c in (0, 1)], axis=1)
         x = x + speed * np.clip(move, -4, 4)
     return x
 

@@ -76,3 +76,19 @@ def test_exact_graph_is_brute_force_over_waves(spark, monkeypatch):
     assert got == {(i, j + 1): int(n) for i, row in enumerate(nearest(x, 5)) for j, n in enumerate(row)}
     assert neighbours.exact_graph(frame(spark, x[:3]), 5).count() == 6 and neighbours.exact_graph(frame(spark, x[:1]), 5).count() == 0
     assert neighbours.exact_graph(frame(spark, x[:1]).limit(0), 5).count() == 0
+
+
+def test_groups_together_give_what_each_gives_alone():
+    """Stacks of groups against one group at a time; edges beyond a row's reach are left out."""
+    r = np.random.default_rng(3)
+    group = np.sort(r.integers(0, 40, 300))
+    ids = np.concatenate([r.choice(1_000, n, replace=False) for n in np.unique(group, return_counts=True)[1]])
+    x = r.normal(size=(300, 6))
+    far = np.where(np.arange(300) % 3 == 0, 2.0, np.inf)
+    got = sorted(zip(*neighbours._nearest_in_groups(group, ids, x, far, 4), strict=True))
+    want = []
+    for g in np.unique(group):
+        own = group == g
+        reach = dict(zip(ids[own], far[own], strict=True))
+        want += [e for e in zip(*neighbours._nearest(ids[own], x[own], 4).to_pydict().values(), strict=True) if e[2] <= reach[e[0]]]
+    assert [e[:2] for e in got] == [e[:2] for e in sorted(want)] and np.allclose([e[2] for e in got], [e[2] for e in sorted(want)])
